@@ -378,7 +378,10 @@ class Parser:
 @lru_cache(maxsize=1024)
 def parse(text: str) -> Node:
     """The tree of a program; kept for repeated texts."""
-    return Parser(text).program()
+    try:
+        return Parser(text).program()
+    except RecursionError:
+        raise SyntaxError_("nested too deep") from None
 
 
 #: Calls that change state: a query with one of them is a change.
