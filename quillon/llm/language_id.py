@@ -117,10 +117,10 @@ class Model:
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
         lang, score = ["und"] * len(texts), np.zeros(len(texts))
-        for lo, hi in T.chunks(texts, 4 * T.CHUNK_BYTES):
+        for lo, hi in T.chunks(texts, 4 * T.CHUNK_BYTES) if self.langs else ():
             for i, (p, size) in enumerate(zip(*self.label(texts[lo:hi]), strict=True)):
                 t = texts[lo + i]
-                if self.langs and t and (len(p) > 0) and any(map(str.isalpha, t.decode())):
+                if t and len(p) and any(map(str.isalpha, t.decode())):
                     share = np.bincount(p, weights=size, minlength=len(self.langs))
                     lang[lo + i], score[lo + i] = self.langs[int(share.argmax())], share.max() / share.sum()
         return lang, score
