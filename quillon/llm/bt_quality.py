@@ -138,5 +138,5 @@ def bt_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, id
     x = fresh(keep, "_raw")
     out = raw.select(F.col("id").alias(id_col), F.col("raw").alias(x)) if keep == [id_col] else docs.select(*keep, score(F.col(text_col)).alias(x))
     s = 1 / (1 + F.exp(-(F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.col(x) - line)) + base)))
-    s = F.when(F.col(x) >= line, F.greatest(s, F.lit(threshold))).otherwise(s)
+    s = F.when(F.col(x) >= line, F.greatest(s, F.lit(threshold))).otherwise(F.least(s, F.lit(float(np.nextafter(threshold, 0)))))
     return out.select(*keep, s.alias("score"), (F.col(x) >= line).cast("int").alias("predicted"))
