@@ -37,7 +37,8 @@ def line_dedup(docs: DataFrame, *, host: F.Column, text_col: str = "text", ratio
     common = often.join(pages, "h").where(F.col("c") > ratio * F.col("pages")).select("h", "line").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     each = flat.select("h", "k1", "k2", F.posexplode("lines").alias("p", "line"), F.pmod("k1", F.lit(SALTS)).cast("int").alias("salt"))
     gone = save(each.join(common, ["h", "line", "salt"]).groupBy("k1", "k2").agg(F.sort_array(F.collect_set("p")).alias(drop)).withColumnsRenamed({"k1": k1, "k2": k2}), "gone")
-    out = rows.join(gone, [k1, k2], "left")
+    # One plan at every size: a table of lost lines small enough to broadcast would only be so on small inputs.
+    out = rows.join(gone.hint("merge"), [k1, k2], "left")
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col(drop), i)), "\n")
     new = F.when(F.col(drop).isNull(), text).otherwise(left)
     return out.select(*(new.alias(c) if c == text_col else F.col(f"`{c}`") for c in names), F.coalesce(F.size(drop), F.lit(0)).cast("long").alias(fresh(names, "lines_dropped")))
