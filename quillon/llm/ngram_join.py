@@ -359,7 +359,16 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     their own id. Equal sets always link. Repeated rows give repeated results. A null id takes part
     in links but is never the smallest; alone, its component is null. Extra columns are ignored.
     """
-    rows = docs.select(F.xxhash64(id_col, text_col).alias("rk"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return _components_of(docs, id_col, text_col, k, num, den).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _row_key(id_col: str, text_col: str):
+    return F.xxhash64(id_col, text_col)
+
+
+def _components_of(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
+    """(rk, id, n, component_id) per row."""
+    rows = docs.select(_row_key(id_col, text_col).alias("rk"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     made = save(sketch(rows, k, num, den), "sketches")
     classes = made.where("n > 0").groupBy("fp", "fp2").agg(F.min("id").alias("least"), F.min("rk").alias("rk"), F.count(F.lit(1)).alias("copies"))
     met = save(_meet(made.select(F.explode("keys").alias("key"), "fp")), "met")
@@ -394,19 +403,28 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     small_root = of.where("root is not null").groupBy("root").agg(F.min("least").alias("least_of"))
     moved = save(of.where("root is not null or copies > 1").join(small_root, "root", "left").select("fp", "fp2", F.coalesce("least_of", "least").alias("component_id")), "moved")
     release(met, info, tried, sets, links, more, comp)
-    return made.join(moved, ["fp", "fp2"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return made.select("rk", "id", "n", "fp", "fp2").join(moved, ["fp", "fp2"], "left").select("rk", "id", "n", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one row of each group of near copies: the one with the group's smallest id. Columns stay.
 
-    Rows that are alone stay as they are, also with null ids or empty texts; of rows with the same
-    smallest id in one group one stays.
+    Rows that are alone stay as they are, also with null ids or empty texts. Of repeated rows (equal id and text) one stays. Of a
+    group without any id all different texts stay.
+
+    Only rows that may have to go are shuffled: a bit table over their keys (bounded by FILTER_BITS) lets the others pass.
     """
-    found = ngram_join(docs, id_col=id_col, text_col=text_col, k=k, num=num, den=den)
-    gone = save(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "gone")
-    out = docs.join(gone, id_col, "left_anti")
-    key = fresh(docs.columns, "same_text")
-    twice = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
-    again = out.join(twice, id_col, "left_semi").withColumn(key, F.xxhash64(text_col)).dropDuplicates([id_col, key]).drop(key)
-    return out.join(twice, id_col, "left_anti").unionByName(again).select(docs.columns)
+    key, names = fresh(docs.columns, "row_key"), docs.columns
+    found = save(_components_of(docs, id_col, text_col, k, num, den), "components")
+    gone = save(found.where(F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col("id"))).select("rk").distinct(), "gone")
+    twice = found.groupBy("rk").count().where("count > 1").select("rk")
+    table, bits = _wanted_filter(gone.union(twice), docs.sparkSession)
+
+    def perhaps(rk: pa.Array) -> pa.Array:
+        at = np.mod(rk.to_numpy(), bits)
+        return pa.array(((table.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)) > 0)
+
+    marked = docs.withColumn(key, _row_key(id_col, text_col))
+    hit = F.arrow_udf(perhaps, "boolean")(F.col(key))
+    checked = marked.where(hit).join(gone.withColumnRenamed("rk", key).hint("merge"), key, "left_anti").dropDuplicates([key])
+    return marked.where(~hit).select(names).unionByName(checked.select(names))

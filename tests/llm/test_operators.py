@@ -170,6 +170,8 @@ def test_ngram_empty_and_keep_one(spark):
     kept = N.keep_one(df.unionByName(df))
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3, 4]
+    null = df.withColumn("doc_id", F.when(F.col("doc_id") != 1, F.col("doc_id")))
+    assert collected(N.keep_one(null), "doc_id") == [(0,), (2,), (3,), (4,)]
 
 
 def test_sketch_bounds():
