@@ -224,6 +224,32 @@ add("op_room_events", "SELECT event_id AS id, value FROM events WHERE event_type
 add("op_room_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL", lambda t: rooms.windowed(t.df("events"), every="1 hour", keys=("event_type",)))
 add("op_room_sessions", "SELECT min(ts) AS start, user_id, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT ts, user_id, (coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE, true))::INT AS new FROM events)) GROUP BY user_id, s", lambda t: rooms.sessions(t.df("events"), keys=("user_id",)).select("start", "user_id", "n"))
 
+# -- whole query texts through the engine
+ENGINE_TEXT = {
+    "op_engine_chain": ("orders.filter(|o| o.o_orderstatus == 'F' && o.customer.c_acctbal > least).map(|o| {id: o.o_orderkey, price: o.o_totalprice}).sort(|r| r.price, true)[:50]", "SELECT * FROM (SELECT o_orderkey AS id, o_totalprice AS price FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND c_acctbal > 500 ORDER BY o_totalprice DESC, o_orderkey LIMIT 50)"),
+    "op_engine_procedure": ("new_procedure('rich', |cs, x| cs.filter(|c| c.c_acctbal > x)); run('rich', customer, least).map(|c| {id: c.c_custkey, n: c.nation.n_name})", "SELECT c_custkey AS id, n_name AS n FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 500"),
+    "op_engine_sets": ("a = orders.filter(|o| o.o_totalprice > 200000); b = orders.filter(|o| o.o_orderstatus == 'O'); ((a | b) - (a & b)).map(|o| {id: o.o_orderkey})", "SELECT o_orderkey AS id FROM orders WHERE (o_totalprice > 200000) <> (o_orderstatus = 'O')"),
+    "op_engine_scalar": ("most = orders.max(|o| o.o_totalprice); orders.filter(|o| o.o_totalprice == most).map(|o| {id: o.o_orderkey})", "SELECT o_orderkey AS id FROM orders WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders)"),
+    "op_engine_wrap": ("set_type('Brief', {o_orderkey: 'int', o_orderdate: 'datetime', gone: 'str'}); orders.wrap('Brief')", "SELECT o_orderkey, o_orderdate FROM orders"),
+}
+
+
+def _engine(t: Tables, text: str) -> Coll:
+    from quillon.runtime.engine import Engine
+
+    engine = Engine()
+    for name in ("orders", "customer", "nation", "lineitem", "part", "supplier", "events"):
+        engine.bind("stuff", name, getattr(t, name))
+    return engine.query(text, least=500)
+
+
+for _name, (_text, _sql) in ENGINE_TEXT.items():
+    add(_name, _sql, lambda t, x=_text: _engine(t, x))
+# Chance and the clock: rows only.
+add("op_random", None, lambda t: t.part.map("|p| {id: p.p_partkey, r: rand(), i: randint(1, 7), s: randstr(4)}"))
+add("op_now", None, lambda t: t.region.map("|r| {id: r.r_regionkey, later: now() > 0, today: datetime().extract('year') > 2000}"))
+add("op_choice", None, lambda t: t.part.made(t.part.rows.orderBy(F.rand()).limit(1), order=[]).map("|p| {id: p.p_partkey}"))
+
 
 def _with(t: Tables, **known) -> Tables:
     return Tables(t.spark, t.dir, Compiler(**known))
