@@ -166,7 +166,7 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
     known = docs.where("lang is not null and id is not null")
     most = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
     ids = known.where(F.col("lang").isin(most)).groupBy("lang", slot.alias("slot")).agg(F.min("id").alias("id")).select("id", F.col("lang").alias("of"))
-    some = docs.join(F.broadcast(ids), "id").where("lang = of").select("lang", "text").coalesce(16)
+    some = docs.join(F.broadcast(ids), "id").where("lang = of").select("lang", "text").repartition(16)  # the sample's texts only; the scan keeps its tasks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[str, np.ndarray] = {}
