@@ -21,6 +21,7 @@ from quillon.errors import CODES, LangError, LookupError_, OperationError, Synta
 from quillon.functions.columns import EMAIL, TEL, URL
 from quillon.lang.compile import Rx
 from quillon.lang.parser import parse
+from quillon.operators.collection import Coll
 from quillon.runtime import values as X
 from quillon.runtime.interp import Interp, count
 from quillon.runtime.types import Enum, Spec, Type
@@ -436,7 +437,8 @@ def _(q, v):
 
 @root("type_count", 1)
 def _(q, name):
-    return len(ROOT["type_all"](q, [name]))
+    found = ROOT["type_all"](q, [name])
+    return found.len() if isinstance(found, Coll) else len(found)
 
 
 @chain("sort", LISTS, 0, 2)
@@ -589,7 +591,8 @@ def _(q, v, *things):
 @root("type_all", 1)
 def _(q, name):
     t = q.types().need(name)
-    return TSet(x for x in q.scope.all_things() if x.type is t)
+    table = q.engine.typed.get((q.scope.name, name))
+    return table if table is not None else TSet(x for x in q.scope.all_things() if x.type is t)
 
 
 # -- things

@@ -210,6 +210,7 @@ class Engine:
         self.commits: list[dict] = []
         self.changes, self.stopped = 0, False
         self.tables: dict[str, dict[str, Coll]] = {"stuff": {}}
+        self.typed: dict[tuple[str, str], Coll] = {}
         self.listeners: list[Callable[[Room, str, list], None]] = []
         self.do_reset_counters(None)
         Engine.current = self
@@ -219,6 +220,31 @@ class Engine:
         """Makes a table known to the queries of a collection as a variable."""
         self.tables[collection][name] = table if isinstance(table, Coll) else Coll(table)
 
+    def bind_type(self, collection: str, type_name: str, table: Coll | DataFrame) -> Coll:
+        """Makes a table the instances of a type: conformed to its fields (defaults, checks), found by type_all, type_count and Type(id)."""
+        t = self.need_collection(collection).types.need(type_name)
+        c = table if isinstance(table, Coll) else Coll(table, key="#" if "#" in table.columns else None)
+        rows = t.conform(c.rows)
+        out = c.made(rows, key="#" if "#" in rows.columns else None, order=["#"] if "#" in rows.columns else [], is_set=True)
+        self.typed[collection, type_name] = out
+        return out
+
+    def dump_tables(self, collection: str, path: str) -> list[str]:
+        """Snapshot of a collection: its bound tables as Parquet, and its script and tasks as one packed file."""
+        names = list(self.tables[collection])
+        for n in names:
+            self.tables[collection][n].df().write.mode("overwrite").parquet(f"{path}/tables/{n}")
+        state = self.spark.createDataFrame([(bytearray(self.need_collection(collection).dump()),)], "state binary")
+        state.coalesce(1).write.mode("overwrite").parquet(f"{path}/state")
+        return names
+
+    def load_tables(self, collection: str, path: str, names: list[str], keys: dict[str, str] | None = None) -> None:
+        """The other way: into an empty collection."""
+        self.need_collection(collection).load(bytes(self.spark.read.parquet(f"{path}/state").first()["state"]), False)
+        for n in names:
+            key = (keys or {}).get(n)
+            self.bind(collection, n, Coll(self.spark.read.parquet(f"{path}/tables/{n}"), [key] if key else None, key))
+
     def scope(self, name: str) -> Scope:
         if name in ("@admin", "/a"):
             return self.admin

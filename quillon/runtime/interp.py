@@ -8,6 +8,8 @@ from __future__ import annotations
 import time
 from typing import Any
 
+from pyspark.sql import functions as F
+
 from quillon.errors import LangError, LookupError_, NumArgumentsError, OperationError, TypeError_, ValueError_
 from quillon.lang.compile import CONSTANTS, Closure, Rx
 from quillon.lang.parser import Node
@@ -356,6 +358,12 @@ class Interp:
             if name in self.scope.types.types:
                 count(name, len(args), 0, 1)
                 if args and isinstance(args[0], int):
+                    table = self.engine.typed.get((self.scope.name, name))
+                    if table is not None and table.key is not None:
+                        got = table.made(table.rows.where(F.col("`#`") == args[0]), order=[]).list()
+                        if not got:
+                            raise LookupError_(f"thing {args[0]} not found")
+                        return X.from_python(got[0])
                     t = self.scope.by_id(args[0])
                     if t.type is None or t.type.name != name:
                         raise TypeError_(f"the thing with this id is not of type `{name}`")

@@ -149,3 +149,24 @@ def test_rooms_as_streams(spark, tmp_path):
     w.processAllAvailable()
     w.stop()
     assert {(r.room, r.n) for r in spark.sql("SELECT room, sum(n) AS n FROM room_counts GROUP BY room").collect()} == {("news", 3), ("other", 2)}
+
+
+def test_types_over_tables_and_snapshots(spark, people, tmp_path):
+    engine = Engine(spark)
+    engine.query("set_type('Person', {name: 'str', age: 'uint', note: 'str<0:9:none>'}); set_type('Old', {age: 'int<40:99>'})")
+    table = people.df().withColumnRenamed("id", "#")
+    engine.bind_type("stuff", "Person", table)
+    assert engine.query("type_count('Person')") == 4
+    assert engine.query("type_all('Person').filter(|p| p.age > 6).map(|p| p.note).unique()").list() == ["none"]
+    assert engine.query("Person(2).name") == "Anne"
+    with pytest.raises(BY_NAME["lookup_err"]):
+        engine.query("Person(77)")
+    engine.bind_type("stuff", "Old", table)
+    with pytest.raises(BY_NAME["value_err"]):
+        engine.query("type_all('Old').sum(|p| p.age)")
+    engine.bind("stuff", "people", people)
+    engine.query(".x = 5")
+    names = engine.dump_tables("stuff", str(tmp_path / "snap"))
+    other = Engine(spark)
+    other.load_tables("stuff", str(tmp_path / "snap"), names, {"people": "id"})
+    assert other.query(".x + people.len()") == 9 and other.query("has_type('Person')")
