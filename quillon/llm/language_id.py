@@ -102,18 +102,25 @@ class Model:
     candidates: np.ndarray  # scripts x langs, bool
 
     def word_scores(self, w: T.Words) -> np.ndarray:
-        sums = np.cumsum(self.logs[trigrams(w)], axis=0, dtype=np.float64)
-        s = sums[w.end - 1] - np.where((w.start > 0)[:, None], sums[w.start - 1], 0)
-        s -= s.max(1, keepdims=True)
+        s, grams = np.zeros((len(w.start), len(self.langs)), dtype=np.float32), trigrams(w)
+        for k in range(len(self.langs)):  # one language at a time: a sum for each byte is held
+            sums = np.cumsum(self.logs[:, k][grams], dtype=np.float64)
+            s[:, k] = sums[w.end - 1] - np.where(w.start > 0, sums[w.start - 1], 0)
+        s -= s.max(1, keepdims=True) if len(s) else 0
         allowed = self.candidates[scripts(w)]
-        return np.where(allowed, s, -1e6).astype(np.float32)
+        return np.where(allowed, s, np.float32(-1e6))
 
     def label(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Per text: the language number of each word, and the words' letters (in bytes)."""
-        w = T.Words(texts, _WORD)
-        sizes = w.end - w.start
-        path = viterbi(self.word_scores(w), w.first, PENALTY)
-        return [path[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)], [sizes[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+        """Per text: the language number of each word, and the words' letters (in bytes). Words are scored in small pieces and decoded together."""
+        scores, sizes, first = [np.zeros((0, len(self.langs)), np.float32)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+        for lo, hi in T.chunks(texts, T.CHUNK_BYTES // 4):
+            w = T.Words(texts[lo:hi], _WORD)
+            scores.append(self.word_scores(w))
+            sizes.append(w.end - w.start)
+            first.append(first[-1][-1] + w.first[1:])
+        size, first = np.concatenate(sizes), np.concatenate(first)
+        path = viterbi(np.concatenate(scores), first, PENALTY)
+        return [path[a:b] for a, b in zip(first[:-1], first[1:], strict=True)], [size[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
         lang, score = ["und"] * len(texts), np.zeros(len(texts))
