@@ -23,6 +23,8 @@ SAMPLE_PER_LANG = 2000
 #: Languages learned: those with most rows, so that ids of the sample stay below 512 * 2000.
 MAX_LANGS = 512
 BUCKETS = 1 << 16
+#: Bytes of texts decoded together: long texts set the number of steps, so many share them.
+DECODED_BYTES = 1 << 23
 #: Log-odds that a switch of language costs.
 PENALTY = 12.0
 #: A language is a candidate for a script if so large a share of its training words is written in it.
@@ -113,7 +115,7 @@ class Model:
     def label(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Per text: the language number of each word, and the words' letters (in bytes). Words are scored in small pieces and decoded together."""
         scores, sizes, first = [np.zeros((0, len(self.langs)), np.float32)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
-        for lo, hi in T.chunks(texts, T.CHUNK_BYTES // 4):
+        for lo, hi in T.chunks(texts):
             w = T.Words(texts[lo:hi], _WORD)
             scores.append(self.word_scores(w))
             sizes.append(w.end - w.start)
@@ -124,7 +126,7 @@ class Model:
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
         lang, score = ["und"] * len(texts), np.zeros(len(texts))
-        for lo, hi in T.chunks(texts, 4 * T.CHUNK_BYTES) if self.langs else ():
+        for lo, hi in T.chunks(texts, DECODED_BYTES) if self.langs else ():
             for i, (p, size) in enumerate(zip(*self.label(texts[lo:hi]), strict=True)):
                 t = texts[lo + i]
                 if t and len(p) and any(map(str.isalpha, t.decode())):
