@@ -11,8 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 _ODD = 0x9E3779B97F4A7C15
 _ALL = (1 << 64) - 1
 
@@ -112,20 +113,34 @@ def shingles(words: np.ndarray, runs_k: np.ndarray, k: int) -> np.ndarray:
     return runs(words, len(words)) if len(words) else np.zeros(0, dtype=np.uint64)
 
 
-def texts_of(column: pa.Array) -> list[bytes]:
-    """UTF-8 bytes of a string column; null gives no bytes."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+class Texts:
+    """UTF-8 bytes of a string column, made as they are asked for; null gives no bytes."""
 
+    def __init__(self, column: pa.Array):
+        self.column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.binary())
+        self.sizes = pc.fill_null(pc.binary_length(self.column), 0).to_numpy(zero_copy_only=False)
 
-def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    def __len__(self) -> int:
+        return len(self.column)
+
+    def __getitem__(self, at):
+        if isinstance(at, slice):
+            lo, hi, _ = at.indices(len(self))
+            return [x or b"" for x in self.column.slice(lo, hi - lo).to_pylist()]
+        return self.column[at].as_py() or b""
+
+
+def texts_of(column: pa.Array) -> Texts:
+    return Texts(column)
+
+
+def chunks(texts: list[bytes] | Texts, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `limit` bytes; a longer text stands alone."""
     lo, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
+    for i, n in enumerate(texts.sizes.tolist() if isinstance(texts, Texts) else map(len, texts)):
+        if size and size + n > limit:
             yield lo, i
             lo, size = i, 0
-        size += len(t) + 1
+        size += n + 1
     if lo < len(texts):
         yield lo, len(texts)

@@ -140,6 +140,13 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     return pa.Table.from_batches(got).combine_chunks() if got else None
 
 
+def _parts(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of a list column."""
+    x = lists.combine_chunks()
+    x = x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
+    return x.offsets.to_numpy(), x.values.to_numpy()
+
+
 def _meet(rows: DataFrame) -> DataFrame:
     """(key, fp) -> pairs of small buckets (cell null, a < b), and members of large ones (cell, a = fp, b = 0 or 1: the side of the cell)."""
 
@@ -236,20 +243,19 @@ def _forest(i: np.ndarray, j: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
 
 
 def _cell_pairs(members: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
-    """(cell, a, b, n, sk, comp, cells) -> candidate pairs (a, b). With forest: a spanning forest of each cell; else all pairs of different comp, each from the first cell that holds both."""
+    """(cell, a, b, n, sk) -> candidate pairs (a, b): a spanning forest of each cell. Without forest, with (comp, cells) too: all pairs of different
+    comp, each from the first cell that holds both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _gather(batches)
         if t is None:
             return
         cell, fp, side, n = (t.column(c).to_numpy() for c in ("cell", "a", "b", "n"))
-        comps = t.column("comp").to_pylist()
-        number = {c: i for i, c in enumerate(dict.fromkeys(comps))}
-        comp = np.array([number[c] for c in comps], dtype=np.int64)
-        flat, offs = t.column("sk").combine_chunks(), None
-        flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-        offs, flat = flat.offsets.to_numpy(), flat.values.to_numpy().view(np.uint64)
-        cells = t.column("cells").to_pylist()
+        offs, flat = _parts(t.column("sk"))
+        flat = flat.view(np.uint64)
+        if not forest:
+            comp = np.asarray(t.column("comp").combine_chunks().dictionary_encode().indices)
+            cell_offs, cells = _parts(t.column("cells"))
         order = np.argsort(cell, kind="stable")
         cuts = np.flatnonzero(np.concatenate(([True], cell[order][1:] != cell[order][:-1])))
         got_a, got_b = [], []
@@ -264,7 +270,8 @@ def _cell_pairs(members: DataFrame, num: int, den: int, forest: bool) -> DataFra
                 keep = _forest(i, j, d, len(rows))
             else:
                 this = cell[rows[0]]
-                keep = np.array([e for e in range(len(i)) if this == min(set(cells[rows[i[e]]]) & set(cells[rows[j[e]]]))], dtype=np.int64)
+                of = lambda r: cells[cell_offs[r] : cell_offs[r + 1]]
+                keep = np.array([e for e in range(len(i)) if this == np.intersect1d(of(rows[i[e]]), of(rows[j[e]])).min()], dtype=np.int64)
             got_a.append(fp[rows[i[keep]]])
             got_b.append(fp[rows[j[keep]]])
         a, b = np.concatenate(got_a), np.concatenate(got_b)
@@ -378,15 +385,13 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str, k: int, num: int
     members = met.where("cell is not null")
     mine = members.select(F.col("a").alias("fp")).distinct()
     info = sketches.join(mine, "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.first("sk").alias("sk"))
-    cells = members.groupBy(F.col("a").alias("fp")).agg(F.collect_set("cell").alias("cells"))
-    info = save(info.join(cells, "fp"), "members")
-    full = lambda comp: members.join(info.withColumnRenamed("fp", "a").join(comp, "a", "left").withColumn("comp", F.coalesce("comp", F.col("a").cast("string"))), "a")
+    info = save(info, "members")
+    with_sketch = lambda rows: rows.join(info.withColumnRenamed("fp", "a"), "a")
 
     # First round: pairs of small buckets within the bound, and a forest of each large bucket.
     ends = small.select(F.col("a").alias("fp")).union(small.select("b")).distinct()
     light = sketches.join(ends, "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.first("sk").alias("sk"))
-    none = members.sparkSession.createDataFrame([], "a long, comp string")
-    tried = save(_near(small, light, num, den).union(_cell_pairs(full(none), num, den, forest=True)).distinct(), "tried")
+    tried = save(_near(small, light, num, den).union(_cell_pairs(with_sketch(members), num, den, forest=True)).distinct(), "tried")
     of_class = lambda pairs: classes.join(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "fp", "left_semi").select("rk").distinct()
     # Texts are read once more, for whatever either round can ask for.
     sets = save(_sets_of(rows, of_class(tried.union(members.select("a", F.col("a").alias("b")))), k), "sets")
@@ -394,7 +399,11 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str, k: int, num: int
     comp = components(links)
     # Second round: what is within the bound and still apart.
     by_fp = sets.select(F.col("fp").alias("a"), _vertex("fp", "fp2").alias("u")).join(comp, "u").select("a", F.col("root").alias("comp")).dropDuplicates(["a"])
-    rest = _cell_pairs(full(by_fp), num, den, forest=False).join(tried, ["a", "b"], "left_anti").distinct()
+    placed = members.join(by_fp, "a", "left").withColumn("comp", F.coalesce("comp", F.col("a").cast("string")))
+    apart = placed.groupBy("cell").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("cell")
+    placed = save(placed.join(apart, "cell", "left_semi"), "apart")
+    cells = placed.groupBy("a").agg(F.collect_set("cell").alias("cells"))
+    rest = _cell_pairs(with_sketch(placed).join(cells, "a"), num, den, forest=False).join(tried, ["a", "b"], "left_anti").distinct()
     more = save(_verify(rest, sets, num, den), "links")
     if more.limit(1).count():
         release(comp)
@@ -402,7 +411,7 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str, k: int, num: int
     of = classes.select("fp", "fp2", "least", "copies", _vertex("fp", "fp2").alias("u")).join(comp, "u", "left")
     small_root = of.where("root is not null").groupBy("root").agg(F.min("least").alias("least_of"))
     moved = save(of.where("root is not null or copies > 1").join(small_root, "root", "left").select("fp", "fp2", F.coalesce("least_of", "least").alias("component_id")), "moved")
-    release(met, info, tried, sets, links, more, comp)
+    release(met, info, placed, tried, sets, links, more, comp)
     return made.select("rk", "id", "n", "fp", "fp2").join(moved, ["fp", "fp2"], "left").select("rk", "id", "n", F.coalesce("component_id", "id").alias("component_id"))
 
 
