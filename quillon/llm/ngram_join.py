@@ -148,7 +148,8 @@ def _parts(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _meet(rows: DataFrame) -> DataFrame:
-    """(key, fp) -> pairs of small buckets (cell null, a < b), and members of large ones (cell, a = fp, b = 0 or 1: the side of the cell)."""
+    """(key, fp) -> pairs of small buckets (cell null, a < b), and members of large ones (cell, a = fp, b = side of the cell: 0 or 1
+    where opposite sides are compared, 2 where all members are). The two low bits of a cell are 0: room for the side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _gather(batches)
@@ -180,8 +181,8 @@ def _meet(rows: DataFrame) -> DataFrame:
                     mine, other = members[i::parts], members[j::parts] if j > i else members[:0]
                     cell = np.full(1, key[at], dtype=np.int64).view(np.uint64) + np.uint64(i * parts + j)
                     both = np.concatenate((mine, other))
-                    side = np.repeat(np.array([0, 1], dtype=np.int64), (len(mine), len(other)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(T.mix64(cell).view(np.int64), len(both))), pa.array(both), pa.array(side)], ["cell", "a", "b"])
+                    side = np.repeat(np.array([0 if j > i else 2, 1], dtype=np.int64), (len(mine), len(other)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat((T.mix64(cell) & ~np.uint64(3)).view(np.int64), len(both))), pa.array(both), pa.array(side)], ["cell", "a", "b"])
 
     return rows.repartition("key").mapInArrow(run, "cell long, a long, b long")
 
@@ -242,9 +243,23 @@ def _forest(i: np.ndarray, j: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
     return np.array(kept, dtype=np.int64)
 
 
+def _first_met(this: int, i: np.ndarray, j: np.ndarray, of) -> np.ndarray:
+    """Positions of the pairs that no smaller cell than `this` compares. of(x): the memberships of x (cell + side)."""
+    keep, last, partners = [], None, set()
+    for e in range(len(i)):
+        if i[e] != last:
+            last, mine = i[e], of(i[e])
+            mine = mine[mine < this]
+            # the opposite side of a cell, or the same if it compares all
+            partners = set((mine ^ (1 - (mine >> 1 & 1))).tolist())
+        if not partners or partners.isdisjoint(of(j[e]).tolist()):
+            keep.append(e)
+    return np.array(keep, dtype=np.int64)
+
+
 def _cell_pairs(members: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
     """(cell, a, b, n, sk) -> candidate pairs (a, b): a spanning forest of each cell. Without forest, with (comp, cells) too: all pairs of different
-    comp, each from the first cell that holds both."""
+    comp, each from the first cell that compares both (cells are memberships: cell + side)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _gather(batches)
@@ -263,15 +278,14 @@ def _cell_pairs(members: DataFrame, num: int, den: int, forest: bool) -> DataFra
             rows = order[lo:hi]
             rows = rows[np.lexsort((fp[rows], side[rows]))]
             here = np.arange(len(rows))
-            left = here[side[rows] == 0]
+            left = here[side[rows] != 1]
             right = here[side[rows] == 1] if (side[rows] == 1).any() else left
             i, j, d = _close([flat[offs[r] : offs[r + 1]] for r in rows], n[rows], left, right, num, den, here if forest else comp[rows])
             if forest:
                 keep = _forest(i, j, d, len(rows))
             else:
-                this = cell[rows[0]]
-                of = lambda r: cells[cell_offs[r] : cell_offs[r + 1]]
-                keep = np.array([e for e in range(len(i)) if this == np.intersect1d(of(rows[i[e]]), of(rows[j[e]])).min()], dtype=np.int64)
+                this = int(cell[rows[0]])
+                keep = _first_met(this, i, j, lambda x: cells[cell_offs[rows[x]] : cell_offs[rows[x] + 1]])  # noqa: B023
             got_a.append(fp[rows[i[keep]]])
             got_b.append(fp[rows[j[keep]]])
         a, b = np.concatenate(got_a), np.concatenate(got_b)
@@ -402,7 +416,7 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str, k: int, num: int
     placed = members.join(by_fp, "a", "left").withColumn("comp", F.coalesce("comp", F.col("a").cast("string")))
     apart = placed.groupBy("cell").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("cell")
     placed = save(placed.join(apart, "cell", "left_semi"), "apart")
-    cells = placed.groupBy("a").agg(F.collect_set("cell").alias("cells"))
+    cells = placed.groupBy("a").agg(F.collect_set(F.col("cell") + F.col("b")).alias("cells"))
     rest = _cell_pairs(with_sketch(placed).join(cells, "a"), num, den, forest=False).join(tried, ["a", "b"], "left_anti").distinct()
     more = save(_verify(rest, sets, num, den), "links")
     if more.limit(1).count():

@@ -164,6 +164,42 @@ def test_ngram_join(spark, k, num):
     assert collected(N.ngram_join(df, k=k, num=num, den=100), "doc_id", "n_shingles", "component_id") == brute.near(rows, k, num, 100)
 
 
+def test_ngram_large_buckets(spark, monkeypatch):
+    """Buckets of several cells: the second round gives every pair that a cell compares, also of sets that share cells which don't."""
+    monkeypatch.setattr(N, "SMALL", 2)
+    monkeypatch.setattr(N, "CELL", 8)
+    rng = np.random.default_rng(4)
+    base = np.unique(T.mix64(rng.integers(0, 1 << 62, 300).astype(np.uint64)))
+    sets = {N._fingerprint(u)[0]: u for u in (np.delete(base, rng.integers(0, 300, 4)) for _ in range(60))}
+    keys = [(k, fp) for fp in sets for k in T.mix64(np.arange(20, dtype=np.uint64)).view(np.int64).tolist() if rng.random() < 0.9]
+    info = spark.createDataFrame([(fp, len(u), [int(x) for x in N.sketch_of(u, 1024).view(np.int64)]) for fp, u in sets.items()], "a long, n long, sk array<long>")
+    met = N._meet(spark.createDataFrame(keys, "key long, fp long"))
+    members = met.where("cell is not null").withColumn("comp", F.col("a").cast("string")).join(info, "a").cache()
+    cells = members.groupBy("a").agg(F.collect_set(F.col("cell") + F.col("b")).alias("cells"))
+    got = [(r.a, r.b) for r in N._cell_pairs(members.join(cells, "a"), 90, 100, forest=False).collect()]
+    assert sorted(got) == sorted((a, b) for a in sets for b in sets if a < b)  # all, each once
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_ngram_large_buckets_brute(spark, monkeypatch, seed):
+    """Two near texts among many that only seem near (their own words cancel in the sketch), so that no forest holds the link."""
+    monkeypatch.setattr(N, "SMALL", 2)
+    monkeypatch.setattr(N, "CELL", 8)
+    random.seed(seed)
+    words = [f"w{x}" for x in random.sample(range(1 << 30), 6000)]
+    base, own, rest = words[:128], [words[128:140], words[140:152]], words[152:]
+    by_bit = {}
+    for x, u in zip(rest, N._sets([x.encode() for x in rest], 1), strict=True):
+        by_bit.setdefault(int(u[0]) & 1023, []).append(x)
+    twins = [x[i : i + 2] for x in by_bit.values() for i in range(0, len(x) - 1, 2)]
+    texts = [" ".join(base + x) for x in own]
+    texts += [" ".join(base + sum(twins[i : i + 12], [])) for i in range(0, 48 * 12, 12)]
+    df = docs_of(spark, texts)
+    got = collected(N.ngram_join(df, k=1, num=80, den=100), "doc_id", "n_shingles", "component_id")
+    assert got == brute.near(list(enumerate(texts)), 1, 80, 100)
+    assert (1, 140, 0) in got
+
+
 def test_ngram_empty_and_keep_one(spark):
     df = docs_of(spark, ["a b c d e f g", "a b c d e f g", "z", None, ""])
     assert N.ngram_join(df.limit(0)).count() == 0
