@@ -3,7 +3,7 @@
 One pass over the texts gives the per-document figures and, for each line with a word, the hash of its
 normalised form (A-Z lower-cased, digit runs as one 0, blanks as one) and its number of words. Lines are
 then counted per host over distinct documents (equal texts count once, so a document and its
-copies don't make each other's lines frequent). Lines above both limits are removed, and
+copies don't make each other's lines frequent). Lines above the limit are removed, and
 a document that keeps too small a share of its words is rejected.
 """
 
@@ -96,11 +96,12 @@ def measure(column):
     return F.arrow_udf(run, ", ".join(f"{x} long" for x in _FIGURES) + ", h array<long>, n array<long>")(column)
 
 
-def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = 10, ratio: float = 0.1, least_left: float = 0.5, keep: list[str] | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = 10, ratio: float = 0.0, least_left: float = 0.5, keep: list[str] | None = None) -> DataFrame:
     """docs -> the columns `keep` (id_col if none are named) of every row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, n_left (words outside removed lines) and kept.
 
-    A line is removed if more than `limit` distinct texts of its host, and more than `ratio` of them, hold it.
+    A line is removed if more than `limit` distinct texts of its host hold it, however large the host is; with `ratio`, only if
+    more than that share of the host's distinct texts do, too.
     kept is false if base_failed, or if n_left < least_left * n_words. Null texts have no words and fail the base rules.
     Null hosts are one host. Repeated rows are judged alike. Extra columns are ignored; `keep` must not hold the new names.
     """
@@ -112,7 +113,7 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     total = base.select(host, key).distinct().groupBy(host).agg(F.count(F.lit(1)).alias("texts"))
     often = lines.distinct().groupBy(host, "h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > limit)
     common = often.join(total, host).where(F.col("c") > ratio * F.col("texts")).select(host, "h")
-    # At most 1/ratio times the mean number of lines per host: small beside the lines; the other side is salted, so no line is one task's.
+    # At most one for limit + 1 lines of distinct texts; the other side is salted, so no line is one task's.
     salts = 32
     salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     each = base.select(host, key, F.posexplode(f"{m}.h").alias("p", "h"), F.col(f"{m}.n").alias("n")).select(host, key, "h", F.get("n", F.col("p")).alias("n"), F.pmod(F.col(key), F.lit(salts)).cast("int").alias("salt"), "p")

@@ -72,6 +72,21 @@ def boilerplate(rows, ratio, least):
     return [t if t is None else "\n".join(x for x in t.split("\n") if (h, trim(x)) not in bad) for h, t in rows]
 
 
+def depleted(rows, limit, least_left):
+    """rows (host, text) -> (words outside lines that more than `limit` distinct texts of the host hold, kept)."""
+    norm = lambda x: " ".join(WORD.findall(re.sub("[0-9]+", "0", low(x))))
+    held = defaultdict(set)
+    for h, t in rows:
+        for x in (t or "").split("\n"):
+            held[h, norm(x)].add(t)
+    out = []
+    for h, t in rows:
+        f = figures(t)
+        left = f[0] - sum(len(WORD.findall(x)) for x in (t or "").split("\n") if len(held[h, norm(x)]) > limit)
+        out.append((left, f[0] >= 10 and 100 * f[4] <= 20 * f[0] and left >= least_left * f[0]))
+    return out
+
+
 def figures(t):
     t = t or ""
     w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]

@@ -273,6 +273,20 @@ def test_depleted(spark):
     assert quality_rules(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("host", ["own", "one"])
+def test_depleted_in_large_hosts(spark, host):
+    """The count decides in a host of any size; whole tables against brute force."""
+    docs = spark.read.parquet(f"{SF2}/documents.parquet").select("doc_id", "text", "source")
+    more = [(10**9 + i, f"Read the terms of use {i} before you go on with any of this\nown {chr(97 + i)} words here", "big") for i in range(15)]
+    more += [(2 * 10**9 + i, f"text number {'abcdefghij'[i % 10]} {'abcdefghij'[i // 10 % 10]} {'abc'[i // 100]} of the same host with nothing to share", "big") for i in range(300)]
+    df = docs.union(spark.createDataFrame(more, docs.schema))
+    df = df if host == "own" else df.withColumn("source", F.lit("one"))
+    rows = df.collect()
+    want = brute.depleted([(r.source, r.text) for r in rows], 10, 0.5)
+    assert collected(quality_rules(df), "doc_id", "n_left", "kept") == sorted(((r.doc_id, *x) for r, x in zip(rows, want, strict=True)), key=str)
+    assert not any(x[1] for r, x in zip(rows, want, strict=True) if 10**9 <= r.doc_id < 2 * 10**9)
+
+
 # -- 7
 @pytest.mark.parametrize("block", [1 << 20, 60])
 def test_decontaminate(spark, block):
