@@ -60,6 +60,14 @@ def test_benchmark(spark, steps):
     assert {d for (d,) in rows(steps[4], "doc_id")} == kept
 
 
+def test_benchmark_short_items(spark, tmp_path):
+    """An item of fewer than 8 words counts whole, once or more; parts of items don't add up."""
+    spark.createDataFrame([(1, "alpha beta gamma"), (2, "one two three four five six seven eight nine ten")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = ["x alpha beta gamma y", "alpha beta gamma x alpha beta gamma y alpha beta gamma", "alpha beta x beta gamma y " * 9, "one two three four five six seven x two three four five six seven eight", "x two three four five six seven eight nine y", "", None]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    assert {r.doc_id for r in corpus_pipeline.benchmark(spark, docs, str(tmp_path)).collect()} == {2, 3, 5, 6}
+
+
 def test_mixture(steps, tmp_path):
     steps[4].coalesce(1).write.parquet(str(tmp_path / "d"))
     c = duckdb.connect()
