@@ -2,7 +2,7 @@
 
 Terms are a text's distinct words and word beginnings (of STEMS bytes, of longer words),
 hashed into BUCKETS. The buckets that tell the classes apart best in the training sample
-are kept. The machine adds to a linear score the interactions of every two terms present:
+are kept, and of the others the frequent ones that do so in pairs. The machine adds to a linear score the interactions of every two terms present:
 y = w0 + sum w_i + sum_{i<j} <v_i, v_j>, computed in linear time. It finds pairs, such as an
 insult beside the mention of a group, that separate weights miss.
 """
@@ -27,6 +27,9 @@ FACTORS = 8
 STEMS = (4, 5, 6, 7, 8)
 #: Least z-score of the difference of a term's shares in the two classes.
 LEAST_Z = 3.0
+#: Of the terms below it, so many of the most frequent are tried in pairs, and kept from this z-score of a pair's shares on.
+FREQUENT = 2048
+PAIR_Z = 6.0
 
 
 def terms(texts: list[bytes], slot: np.ndarray | None = None) -> Iterator[np.ndarray]:
@@ -67,7 +70,8 @@ class Model:
 
 
 def select(docs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Buckets whose shares in the two classes differ by LEAST_Z or more; at least 3 documents must hold one."""
+    """Buckets whose shares in the two classes differ by LEAST_Z or more; at least 3 documents must hold one. Also the frequent
+    buckets of which that is true only in pairs."""
     n1, n0 = max(1, toxic.sum()), max(1, (~toxic).sum())
     count = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
     for d, y in zip(docs, toxic, strict=True):
@@ -77,7 +81,31 @@ def select(docs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     z = np.abs(a / n1 - b / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
     z[a + b < 3] = 0
     best = np.argsort(-z, kind="stable")[:TERMS]
-    return np.sort(best[z[best] > LEAST_Z])
+    best = best[z[best] > LEAST_Z]
+    common = np.argsort(-np.where(z > LEAST_Z, 0, a + b), kind="stable")[:FREQUENT]
+    common = common[(z[common] <= LEAST_Z) & ((a + b)[common] >= 3)]
+    return np.union1d(best, paired(docs, toxic, common))
+
+
+def paired(docs: list[np.ndarray], toxic: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Buckets of `among` in a pair whose shares in the two classes differ by PAIR_Z or more; 5 pairs must be expected in the smaller class."""
+    n1, n0 = max(1, toxic.sum()), max(1, (~toxic).sum())
+    slot = np.full(BUCKETS, -1, dtype=np.int64)
+    slot[among] = np.arange(len(among))
+    both = [np.zeros((len(among), len(among)), dtype=np.float32) for _ in range(2)]
+    for y in range(2):
+        mine = np.flatnonzero(toxic == bool(y))
+        for lo in range(0, len(mine), 1000):
+            x = np.zeros((len(mine[lo : lo + 1000]), len(among)), dtype=np.float32)
+            for i, d in enumerate(mine[lo : lo + 1000]):
+                at = slot[docs[d]]
+                x[i, at[at >= 0]] = 1
+            both[y] += x.T @ x
+    p = (both[0] + both[1]) / (n1 + n0)
+    z = np.abs(both[1] / n1 - both[0] / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
+    z[p * min(n1, n0) < 5] = 0
+    np.fill_diagonal(z, 0)
+    return among[z.max(1, initial=0) > PAIR_Z]
 
 
 def fit(docs: list[np.ndarray], toxic: np.ndarray, rounds: int = 200, rate: float = 0.05, decay: float = 2e-4) -> Model:

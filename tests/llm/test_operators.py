@@ -326,6 +326,19 @@ def test_pairs_need_the_factors():
     assert s[2] > 0.7 and max(s[0], s[1], s[3]) < 0.5
 
 
+def test_pairs_without_a_marginal_trace():
+    """One word of two is toxic, both or none are not: each word's share is alike in both classes."""
+    random.seed(6)
+    texts, y = [], []
+    for n in range(1200):
+        a, b = n % 2 == 0, n // 2 % 2 == 0
+        texts.append(" ".join([*random.choices(["ff", "gg", "hh", "ii"], k=6), *(["insult"] if a else []), *(["group"] if b else [])]))
+        y.append(a != b)
+    m = fit(list(terms([t.encode() for t in texts])), np.array(y), rounds=400)
+    s = m.scores([b"ff insult gg", b"group hh", b"insult ff group", b"ff gg"])
+    assert min(s[:2]) > 0.7 and max(s[2:]) < 0.3
+
+
 def test_toxicity_edges(spark):
     docs = docs_of(spark, EDGES)
     none = spark.createDataFrame([(1, None)], "id long, label int")
