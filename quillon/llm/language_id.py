@@ -20,7 +20,7 @@ from quillon.llm import _text as T
 
 #: Training rows: at most so many texts of each language, dealt by hash of the id.
 SAMPLE_PER_LANG = 2000
-#: Languages learned: those with most rows, so that ids of the sample stay below 512 * 2000.
+#: All languages are learned. Beyond so many each has fewer texts, so that ids of the sample stay below 512 * 2000.
 MAX_LANGS = 512
 BUCKETS = 1 << 16
 #: Bytes of texts decoded together: long texts set the number of steps, so many share them.
@@ -126,7 +126,7 @@ class Model:
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
         lang, score = ["und"] * len(texts), np.zeros(len(texts))
-        for lo, hi in T.chunks(texts, DECODED_BYTES) if self.langs else ():
+        for lo, hi in T.chunks(texts, DECODED_BYTES * MAX_LANGS // max(MAX_LANGS, len(self.langs))) if self.langs else ():
             for i, (p, size) in enumerate(zip(*self.label(texts[lo:hi]), strict=True)):
                 t = texts[lo + i]
                 if t and len(p) and any(map(str.isalpha, t.decode())):
@@ -171,11 +171,13 @@ def viterbi(s: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
 
 def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
     """docs (id, text, lang): counts trigrams of a bounded sample on the executors; a fixed-size table per language and task reaches the driver."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(per_lang))
     known = docs.where("lang is not null and id is not null")
-    most = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    ids = known.where(F.col("lang").isin(most)).groupBy("lang", slot.alias("slot")).agg(F.min("id").alias("id")).select("id", F.col("lang").alias("of"))
-    some = docs.join(F.broadcast(ids), "id").where("lang = of").select("lang", "text").repartition(16)  # the sample's texts only; the scan keeps its tasks
+    n_langs = known.select("lang").distinct().count()
+    slot = F.pmod(F.xxhash64("id"), F.lit(max(1, per_lang * MAX_LANGS // max(MAX_LANGS, n_langs))))
+    ids = known.groupBy("lang", slot.alias("slot")).agg(F.min("id").alias("id")).select("id", F.col("lang").alias("of"))
+    some = docs.join(F.broadcast(ids), "id").where("lang = of").select("lang", "text")
+    # The sample's texts only; the scan keeps its tasks. A task holds a table for each of its languages.
+    some = some.repartition(16) if n_langs <= MAX_LANGS else some.repartition(n_langs // 32 + 1, "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[str, np.ndarray] = {}
@@ -206,11 +208,14 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
     langs = sorted(x for x in grams if written[x].sum())
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(_NAMES), 0), bool))
-    g = np.stack([grams[x] for x in langs], axis=1) + 0.5
+    logs = np.empty((BUCKETS, len(langs)), dtype=np.float32)
+    for k, x in enumerate(langs):
+        g = grams.pop(x) + 0.5
+        logs[:, k] = np.log(g / g.sum())
     s = np.stack([written[x] for x in langs], axis=1)
     candidates = s >= LEAST_SHARE * s.sum(0)
     candidates[~candidates.any(1)] = True
-    return Model(langs, np.log(g / g.sum(0)).astype(np.float32), candidates)
+    return Model(langs, logs, candidates)
 
 
 def language_id(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

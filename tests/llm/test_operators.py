@@ -365,6 +365,16 @@ def test_language_edges(spark):
     assert language_id(docs.limit(0), train).count() == 0
 
 
+def test_all_languages_are_learned(spark, monkeypatch):
+    from quillon.llm import language_id as L
+
+    monkeypatch.setattr(L, "MAX_LANGS", 2)
+    said = {"en": "the cat and the dog were here", "de": "der hund und die katze waren hier", "fr": "le chien et le chat sont ici", "el": "καλημέρα σας τι κάνετε", "xx": "zuq zaqq wuzz qaz"}
+    train = spark.createDataFrame([(10 * i + j, t, x) for i, (x, t) in enumerate(said.items()) for j in range(9 - i)], "id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id(docs_of(spark, list(said.values())), train).collect()}
+    assert [got[i] for i in range(len(said))] == list(said)
+
+
 def test_viterbi():
     from itertools import product
 
