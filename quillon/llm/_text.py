@@ -1,12 +1,16 @@
 """Vectorised word splitting and hashing over Arrow batches (numpy only).
 
 A batch of texts is joined into one byte buffer and cut into words with array
-operations, so no Python object is made per word. Word identity is a 64-bit hash
-of the word's bytes; sequences of words are hashes of word hashes.
+operations, so no Python object is made per word. A word has two independent 64-bit
+hashes, made of its bytes eight at a time by a chain of bijective mixers (not linear in the
+bytes, so periodic words do not collide); words beyond LONG bytes are hashed by BLAKE2b. `h`
+stands for a word where a chance collision only costs time; what has to be exact compares
+`h` and `h2` (128 bits) or the bytes. Sequences of words are hashes of word hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +32,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _byte_values() -> np.ndarray:
-    return mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
-
-
 def byte_table(regex_class_excluded: str) -> np.ndarray:
     """Which bytes belong to a word; bytes from 0x80 up always do."""
     table = np.ones(256, dtype=bool)
@@ -46,45 +46,68 @@ NON_BLANK = byte_table(BLANKS)
 #: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+
 ALNUM = byte_table("".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])))
 
-_VALUES = _byte_values()
-_LOWER_VALUES = _VALUES.copy()
-_LOWER_VALUES[65:91] = _VALUES[97:123]
-_POWERS = {"p": np.ones(1, dtype=np.uint64), "i": np.ones(1, dtype=np.uint64)}
+_FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: Words longer than this many bytes are hashed by BLAKE2b.
+LONG = 128
+#: Bits of the first n bytes of a little-endian word.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+_SEEDS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _mix_other(x: np.ndarray) -> np.ndarray:
+    """A second bijective finalizer, with other shifts and factors than mix64."""
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
-def _powers(kind: str, n: int) -> np.ndarray:
-    have = _POWERS[kind]
-    if len(have) < n:
-        base = 0xD6E8FEB86659FD93 if kind == "p" else pow(0xD6E8FEB86659FD93, -1, 1 << 64)
-        have = np.full(max(n, CHUNK_BYTES + 4096), base, dtype=np.uint64)
-        have[0] = 1
-        _POWERS[kind] = have = np.multiply.accumulate(have)
-    return have
+def hash_spans(buf: bytes, start: np.ndarray, end: np.ndarray, pair: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Two 64-bit hashes of each span of bytes; without `pair` only the first."""
+    size = end - start
+    mixers = [(mix64, _SEEDS[0]), (_mix_other, _SEEDS[1])][: 1 + pair]
+    states = [mix(size.astype(np.uint64) * seed + seed) for mix, seed in mixers]
+    if len(start):
+        padded = buf + bytes(8)
+        eight = np.ndarray((len(buf),), dtype="<u8", buffer=padded, strides=(1,))
+        lane = eight[start] & _MASKS[np.minimum(size, 8)]
+        states = [mix(h ^ (lane * seed)) for h, (mix, seed) in zip(states, mixers, strict=True)]
+        j, todo = 8, np.flatnonzero((size > 8) & (size <= LONG))
+        while len(todo):
+            left = size[todo] - j
+            lane = eight[start[todo] + j] & _MASKS[np.minimum(left, 8)]
+            for h, (mix, seed) in zip(states, mixers, strict=True):
+                h[todo] = mix(h[todo] ^ (lane * seed))
+            j += 8
+            todo = todo[left > 8]
+        for i in np.flatnonzero(size > LONG).tolist():
+            digest = np.frombuffer(hashlib.blake2b(memoryview(buf)[start[i] : end[i]], digest_size=16).digest(), dtype="<u8")
+            for h, x in zip(states, digest, strict=False):
+                h[i] = x
+    return (states[0], states[1] if pair else None)
 
 
 class Words:
-    """Words of several texts: `start`, `end` (bytes in `buf`), `h` (hash), `first` (word index where each text begins)."""
+    """Words of several texts: `start`, `end` (bytes in `buf`), `h` and `h2` (hashes; h2 only with `pair`), `first` (word index where
+    each text begins)."""
 
-    __slots__ = ("buf", "end", "first", "h", "offsets", "start")
+    __slots__ = ("buf", "end", "first", "h", "h2", "offsets", "plain", "start")
 
-    def __init__(self, texts: list[bytes], table: np.ndarray, lower: bool = False):
+    def __init__(self, texts: list[bytes], table: np.ndarray, lower: bool = False, pair: bool = False):
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         self.offsets = np.zeros(len(texts) + 1, dtype=np.int64)
         np.cumsum(sizes + 1, out=self.offsets[1:])
-        self.buf = b = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+        joined = b"\n".join(texts) + b"\n"
+        self.buf = b = np.frombuffer(joined, dtype=np.uint8)
         inside = table[b]
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         if len(b) and inside[0]:
             edge = np.concatenate(([0], edge))
         self.start, self.end = edge[0::2], edge[1::2]
-        sums = (_LOWER_VALUES if lower else _VALUES)[b]
-        sums *= _powers("p", len(b))[: len(b)]
-        np.cumsum(sums, out=sums)
-        before = np.where(self.start > 0, sums[self.start - 1], np.uint64(0)) if len(self.start) else np.zeros(0, np.uint64)
-        h = sums[self.end - 1] - before
-        h *= _powers("i", len(b))[self.start]
-        h += (self.end - self.start).astype(np.uint64) * np.uint64(_ODD)
-        self.h = mix64(h)
+        self.plain = joined.translate(_FOLD) if lower else joined
+        self.h, self.h2 = hash_spans(self.plain, self.start, self.end, pair)
         self.first = np.searchsorted(self.start, self.offsets)
 
     def counts(self) -> np.ndarray:
@@ -93,6 +116,21 @@ class Words:
     def word(self, i: int) -> bytes:
         return self.buf[self.start[i] : self.end[i]].tobytes()
 
+    def same(self, i: np.ndarray, other: Words, j: np.ndarray) -> np.ndarray:
+        """Whether the bytes (lower-cased, if words are) of words i and the other's words j are equal."""
+        size = self.end[i] - self.start[i]
+        out = size == other.end[j] - other.start[j]
+        a, b = (np.ndarray((len(w.buf),), dtype="<u8", buffer=w.plain + bytes(8), strides=(1,)) for w in (self, other))
+        at, todo = 0, np.flatnonzero(out)
+        while len(todo):
+            left = size[todo] - at
+            mask = _MASKS[np.minimum(left, 8)]
+            equal = (a[self.start[i[todo]] + at] & mask) == (b[other.start[j[todo]] + at] & mask)
+            out[todo[~equal]] = False
+            at += 8
+            todo = todo[equal & (left > 8)]
+        return out
+
 
 def runs(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of every k consecutive entries (also across texts: callers cut)."""

@@ -22,22 +22,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import _text as T
-from quillon.llm._tables import fresh
+from quillon.llm._tables import fresh, quoted
 
-#: Windows of a block: about 130 bytes each are broadcast.
+#: Windows of a block: about 200 bytes each are broadcast.
 BLOCK = 1 << 20
 #: Bits of a block's first sieve.
 SIEVE = 1 << 22
 
 
 class Block:
-    """Windows of some items: word hashes, items, and shingles; after `order`, the index by prefix shingle."""
+    """Windows of some items: word hashes (two of 64 bits), items, and shingles; after `order`, the index by prefix shingle."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int, shingle: int):
-        w = T.Words([t for _, t in items], T.ALNUM, lower=True)
-        seen: dict[tuple[int, ...], set[int]] = {}
+        w = T.Words([t for _, t in items], T.ALNUM, lower=True, pair=True)
+        seen: dict[tuple[tuple[int, int], ...], set[int]] = {}
         for i in range(len(items)):
-            h = w.h[w.first[i] : w.first[i + 1]].tolist()
+            here = slice(w.first[i], w.first[i + 1])
+            h = list(zip(w.h[here].tolist(), w.h2[here].tolist(), strict=True))
             for a in range(max(1, len(h) - window + 1) if h else 0):
                 seen.setdefault(tuple(h[a : a + window]), set()).add(i)
         self.ids = [x for x, _ in items]
@@ -45,10 +46,11 @@ class Block:
         for length in sorted({len(k) for k in seen}):
             keys = [k for k in seen if len(k) == length]
             at = np.cumsum([0, *(len(seen[k]) for k in keys)])
-            words = np.array(keys, dtype=np.uint64)
+            both = np.array(keys, dtype=np.uint64)
+            words = np.ascontiguousarray(both[:, :, 0])
             k = min(shingle, length)
             parts = np.stack([T.runs(words[:, o : o + k].ravel(), k)[:: k] for o in range(length - k + 1)], axis=1)
-            self.groups.append({"length": length, "k": k, "words": words, "items": np.concatenate([sorted(seen[x]) for x in keys]), "at": at, "parts": parts})
+            self.groups.append({"length": length, "k": k, "words": words, "checks": np.ascontiguousarray(both[:, :, 1]), "items": np.concatenate([sorted(seen[x]) for x in keys]), "at": at, "parts": parts})
         self.shingles = {k: np.unique(np.concatenate([g["parts"].ravel() for g in self.groups if g["k"] == k])) for k in {g["k"] for g in self.groups}}
 
     def order(self, frequency: dict[int, np.ndarray]) -> None:
@@ -83,6 +85,11 @@ class Block:
             ok = np.ones(len(start), dtype=bool)
             for j in range(g["length"]):
                 ok &= w.h[start + j] == g["words"][window, j]
+            start, window = start[ok], window[ok]
+            ok = np.ones(len(start), dtype=bool)
+            for j in range(g["length"]):
+                # 128 bits stand for a word; the second half is made for these words only
+                ok &= T.hash_spans(w.plain, w.start[start + j], w.end[start + j])[1] == g["checks"][window, j]
             for x, y in zip(out, (start[ok], np.full(ok.sum(), g["length"]), np.full(ok.sum(), number), window[ok]), strict=True):
                 x.append(y)
         return tuple(np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in out)
@@ -97,7 +104,7 @@ def sieve(values: np.ndarray) -> np.ndarray:
 def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, window: int, shingle: int, size: int) -> Iterator[Block]:
     """Blocks in order of the items; rows come to the driver one partition at a time, and at most one block is held."""
     items, n = [], 0
-    for r in benchmark.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
+    for r in benchmark.where(F.col(quoted(text_col)).isNotNull()).select(F.coalesce(F.col(quoted(id_col)).cast("string"), F.lit("")).alias("i"), F.col(quoted(text_col)).alias("t")).toLocalIterator():
         t = r.t.encode()
         if n and n + len(t) // 2 > size:
             yield Block(items, window, shingle)
@@ -131,7 +138,7 @@ def _frequency(docs: DataFrame, text_col: str, block) -> dict[int, np.ndarray]:
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(c[at])], ["k", "s", "c"])
 
-    got = docs.select(text_col).mapInArrow(run, "k long, s long, c long").groupBy("k", "s").agg(F.sum("c").alias("c")).toArrow()
+    got = docs.select(quoted(text_col)).mapInArrow(run, "k long, s long, c long").groupBy("k", "s").agg(F.sum("c").alias("c")).toArrow()
     out = {k: np.zeros(len(v), dtype=np.int64) for k, v in block.value.shingles.items()}
     k, s, c = (got.column(x).to_numpy() for x in "ksc")
     for x in out:
@@ -196,5 +203,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, shi
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     res = fresh(keep, "_found")
-    got = docs.select(*keep, F.arrow_udf(run, "n_words long, n_hit long, items array<string>, spans array<struct<start:int,stop:int>>")(F.col(text_col)).alias(res))
-    return got.select(*keep, f"{res}.n_words", f"{res}.n_hit", F.size(f"{res}.items").cast("long").alias("n_items"), f"{res}.items", f"{res}.spans")
+    got = docs.select(*map(quoted, keep), F.arrow_udf(run, "n_words long, n_hit long, items array<string>, spans array<struct<start:int,stop:int>>")(F.col(quoted(text_col))).alias(res))
+    return got.select(*map(quoted, keep), f"{res}.n_words", f"{res}.n_hit", F.size(f"{res}.items").cast("long").alias("n_items"), f"{res}.items", f"{res}.spans")

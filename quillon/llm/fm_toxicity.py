@@ -3,7 +3,8 @@
 Terms are a text's distinct words and word beginnings (of STEMS bytes, of longer words),
 hashed into BUCKETS. The buckets that tell the classes apart best in the training sample
 are kept, and of the others the frequent ones that do so in pairs. The machine adds to a linear score the interactions of every two terms present:
-y = w0 + sum w_i + sum_{i<j} <v_i, v_j>, computed in linear time. It finds pairs, such as an
+y = w0 + sum w_i + c sum_{i<j} <v_i, v_j>, computed in linear time. c is 1 up to PAIRS_FULL terms in use and falls with their number
+beyond, so that the pairs of a long text don't grow with its square. It finds pairs, such as an
 insult beside the mention of a group, that separate weights miss.
 """
 
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import _text as T
+from quillon.llm._tables import quoted, release, sampled_texts, save
 from quillon.llm.bt_quality import bounded_labels
 
 SAMPLE_PER_CLASS = 5000
@@ -30,6 +32,8 @@ LEAST_Z = 3.0
 #: Of the terms below it, so many of the most frequent are tried in pairs, and kept from this z-score of a pair's shares on.
 FREQUENT = 2048
 PAIR_Z = 6.0
+#: With more terms in use than this in a text, its sum of pairs is scaled down.
+PAIRS_FULL = 128
 
 
 def terms(texts: list[bytes], slot: np.ndarray | None = None) -> Iterator[np.ndarray]:
@@ -51,6 +55,10 @@ def terms(texts: list[bytes], slot: np.ndarray | None = None) -> Iterator[np.nda
             yield np.unique(np.concatenate([s[cut[i] : cut[i + 1]] for (s, _), cut in zip(streams, cuts, strict=True)]))
 
 
+def pair_scale(n):
+    return PAIRS_FULL / np.maximum(PAIRS_FULL, n)
+
+
 @dataclass
 class Model:
     buckets: np.ndarray  # sorted buckets in use
@@ -65,25 +73,30 @@ class Model:
         for i, at in enumerate(terms(texts, slot)):
             if len(at):
                 v = self.v[at]
-                out[i] += self.w[at].sum() + 0.5 * ((v.sum(0) ** 2).sum() - (v**2).sum())
+                out[i] += self.w[at].sum() + 0.5 * pair_scale(len(at)) * ((v.sum(0) ** 2).sum() - (v**2).sum())
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
+def screen(buckets: np.ndarray, clean: np.ndarray, toxic: np.ndarray, n0: int, n1: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of buckets that `clean` and `toxic` documents hold, of n0 and n1: those whose shares in the two classes differ by LEAST_Z or more (TERMS
+    at most), and the most frequent of the others (FREQUENT at most). At least 3 documents must hold one."""
+    n0, n1 = max(1, n0), max(1, n1)
+    p = (clean + toxic) / (n1 + n0)
+    z = np.abs(toxic / n1 - clean / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
+    z[clean + toxic < 3] = 0
+    order = np.lexsort((buckets, -z))
+    best = order[: np.count_nonzero(z > LEAST_Z)][:TERMS]
+    rest = np.flatnonzero((z <= LEAST_Z) & (clean + toxic >= 3))
+    rest = rest[np.lexsort((buckets[rest], -(clean + toxic)[rest]))][:FREQUENT]
+    return np.sort(buckets[best]), np.sort(buckets[rest])
+
+
 def select(docs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Buckets whose shares in the two classes differ by LEAST_Z or more; at least 3 documents must hold one. Also the frequent
-    buckets of which that is true only in pairs."""
-    n1, n0 = max(1, toxic.sum()), max(1, (~toxic).sum())
-    count = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
+    """Buckets to use: those that tell the classes apart, and the frequent ones of which that is true only in pairs."""
+    count = [np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)]
     for d, y in zip(docs, toxic, strict=True):
         count[int(y)][d] += 1
-    a, b = count[1], count[0]
-    p = (a + b) / (n1 + n0)
-    z = np.abs(a / n1 - b / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    z[a + b < 3] = 0
-    best = np.argsort(-z, kind="stable")[:TERMS]
-    best = best[z[best] > LEAST_Z]
-    common = np.argsort(-np.where(z > LEAST_Z, 0, a + b), kind="stable")[:FREQUENT]
-    common = common[(z[common] <= LEAST_Z) & ((a + b)[common] >= 3)]
+    best, common = screen(np.arange(BUCKETS), *count, int((~toxic).sum()), int(toxic.sum()))
     return np.union1d(best, paired(docs, toxic, common))
 
 
@@ -108,9 +121,9 @@ def paired(docs: list[np.ndarray], toxic: np.ndarray, among: np.ndarray) -> np.n
     return among[z.max(1, initial=0) > PAIR_Z]
 
 
-def fit(docs: list[np.ndarray], toxic: np.ndarray, rounds: int = 200, rate: float = 0.05, decay: float = 2e-4) -> Model:
+def fit(docs: list[np.ndarray], toxic: np.ndarray, buckets: np.ndarray | None = None, rounds: int = 200, rate: float = 0.05, decay: float = 2e-4) -> Model:
     """Adam on the class-balanced logistic loss, full batches."""
-    buckets = select(docs, toxic)
+    buckets = (select(docs, toxic) if buckets is None else buckets).astype(np.int64)
     slot = np.full(BUCKETS, -1, dtype=np.int64)
     slot[buckets] = np.arange(len(buckets))
     held = [slot[d][slot[d] >= 0] for d in docs]
@@ -120,6 +133,7 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, rounds: int = 200, rate: floa
     if not len(docs) or not len(buckets) or not toxic.any() or toxic.all():
         return Model(buckets[:0], -3.0, np.zeros(0), np.zeros((0, FACTORS)))
     flat, row = np.concatenate(held), np.repeat(np.arange(len(docs)), sizes)
+    scale = pair_scale(sizes)
     weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
     m = [np.zeros_like(p) for p in par]
     s = [np.zeros_like(p) for p in par]
@@ -128,10 +142,10 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, rounds: int = 200, rate: floa
         w0, w, v = par
         vx = v[flat]
         total = np.stack([per_doc(vx[:, f]) for f in range(FACTORS)], axis=1)
-        y = w0[0] + per_doc(w[flat]) + 0.5 * ((total**2).sum(1) - per_doc((vx**2).sum(1)))
+        y = w0[0] + per_doc(w[flat]) + 0.5 * scale * ((total**2).sum(1) - per_doc((vx**2).sum(1)))
         g = weight * (1 / (1 + np.exp(-np.clip(y, -30, 30))) - toxic)
         gx = g[row]
-        inner = (total[row] - vx) * gx[:, None]
+        inner = (total[row] - vx) * (gx * scale[row])[:, None]
         grads = [np.array([g.sum()]), np.bincount(flat, weights=gx, minlength=len(buckets)) + decay * w, np.stack([np.bincount(flat, weights=inner[:, f], minlength=len(buckets)) for f in range(FACTORS)], axis=1) + decay * v]
         for i, gr in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * gr
@@ -140,27 +154,55 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, rounds: int = 200, rate: floa
     return Model(buckets, float(par[0][0]), par[1], par[2])
 
 
+def learn(sample: DataFrame) -> Model:
+    """sample (id, label, text): terms are counted on the executors; the driver gets their counts (BUCKETS at most), then the few terms in
+    question of each text (TERMS + FREQUENT at most)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)]
+        for batch in batches:
+            labels = batch.column(0).to_numpy()
+            for y, t in zip(labels, terms(T.texts_of(batch.column(1))), strict=True):
+                total[int(y == 1)][t] += 1
+        at = np.flatnonzero(total[0] + total[1])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], ["b", "c0", "c1"])
+
+    size = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
+    counted = sample.select("label", "text").mapInArrow(count, "b long, c0 long, c1 long").groupBy("b").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).where("c0 + c1 >= 3").toArrow()
+    best, common = screen(*(counted.column(c).to_numpy().copy() for c in ("b", "c0", "c1")), size.get(0, 0), size.get(1, 0))
+    asked = np.union1d(best, common).astype(np.int64)
+
+    def held(t: pa.Array) -> pa.Array:
+        slot = np.full(BUCKETS, -1, dtype=np.int32)
+        slot[asked] = np.arange(len(asked))
+        return pa.array([x.astype(np.int16) for x in terms(T.texts_of(t), slot)], pa.list_(pa.int16()))
+
+    got = sample.select("id", "label", F.arrow_udf(held, "array<smallint>")("text").alias("t")).orderBy(F.xxhash64("id"), "id", "label").toArrow()
+    flat = got.column("t").combine_chunks()
+    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+    offs, vals = flat.offsets.to_numpy(), asked[flat.values.to_numpy().astype(np.int64)]
+    docs, toxic = [vals[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True)], got.column("label").to_numpy() == 1
+    return fit(docs, toxic, np.union1d(best, paired(docs, toxic, common)))
+
+
 def fm_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", per_class: int = SAMPLE_PER_CLASS, keep: list[str] | None = None) -> DataFrame:
     """docs, and labels (id, label: 1 toxic, 0 not, other or null ignored) -> the columns `keep` (id_col if none
     are named) of every row, `score` (0 to 1) and `predicted` (1 if score >= threshold).
 
-    Null texts count as empty. Without labels of both classes every score is that of the constant term.
-    Repeated rows are scored alike. Extra columns are ignored; `keep` must not hold `score` or `predicted`.
+    Null texts count as empty. Without labels of both classes every score is that of the constant term. Repeated rows are scored alike; where
+    labelled ids repeat, one text counts. Very long texts are scored whole, by their distinct terms. An empty table gives no
+    row. Extra columns are ignored; `keep` must not hold `score` or `predicted`.
     """
     keep = [id_col] if keep is None else keep
     some = bounded_labels(labels.where("label in (0, 1) and id is not null").select("id", "label"), per_class)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    vec = F.arrow_udf(lambda t: pa.array([x.astype(np.int32) for x in terms(T.texts_of(t))], pa.list_(pa.int32())), "array<int>")
-    got = texts.join(F.broadcast(some), "id").select("id", "label", vec("text").alias("t")).orderBy(F.xxhash64("id"), "id", F.size("t")).toArrow()  # at most 2 * per_class ids
-    flat = got.column("t").combine_chunks()
-    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-    offs, vals = flat.offsets.to_numpy(), flat.values.to_numpy()
-    model = fit([vals[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True)], got.column("label").to_numpy() == 1)
+    sample = save(sampled_texts(docs, some, id_col, text_col), "sample")
+    model = learn(sample)
+    release(sample)
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for t in batches:
             yield pa.array(model.scores(T.texts_of(t)), pa.float64())
 
     score.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    out = docs.select(*keep, F.arrow_udf(score, "double")(F.col(text_col)).alias("score"))
+    out = docs.select(*map(quoted, keep), F.arrow_udf(score, "double")(F.col(quoted(text_col))).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import _text as T
+from quillon.llm._tables import fresh, quoted
 
 #: Training rows: at most so many texts of each language, dealt by hash of the id.
 SAMPLE_PER_LANG = 2000
@@ -113,12 +114,13 @@ class Model:
         return np.where(allowed, s, np.float32(-1e6))
 
     def label(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Per text: the language number of each word, and the words' letters (in bytes). Words are scored in small pieces and decoded together."""
+        """Per text: the language number of each word, and the words' letters (code points). Words are scored in small pieces and decoded together."""
         scores, sizes, first = [np.zeros((0, len(self.langs)), np.float32)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
         for lo, hi in T.chunks(texts):
             w = T.Words(texts[lo:hi], _WORD)
             scores.append(self.word_scores(w))
-            sizes.append(w.end - w.start)
+            points = np.cumsum((w.buf & 0xC0) != 0x80)
+            sizes.append(points[w.end - 1] - points[w.start] + 1)
             first.append(first[-1][-1] + w.first[1:])
         size, first = np.concatenate(sizes), np.concatenate(first)
         path = viterbi(np.concatenate(scores), first, PENALTY)
@@ -223,7 +225,8 @@ def language_id(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id",
     `score` (share of the letters in spans of that language).
 
     Null texts, texts without a letter and, without training rows, all texts have `und` and 0. Ties go to the language first by
-    code point. Repeated rows have equal results. Extra columns are ignored; `keep` must not hold the new names.
+    code point. Repeated rows have equal results. Very long texts are decoded whole: a number for each word and language is held.
+    An empty table gives no row. Extra columns are ignored; `keep` must not hold the new names.
     """
     keep = [id_col] if keep is None else keep
     model = docs.sparkSession.sparkContext.broadcast(train(training))  # 256 KB a language
@@ -234,5 +237,5 @@ def language_id(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id",
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang_pred", "score"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    got = F.arrow_udf(run, "lang_pred string, score double")(F.col(text_col)).alias("_lid")
-    return docs.select(*keep, got).select(*keep, "_lid.lang_pred", "_lid.score")
+    got = F.arrow_udf(run, "lang_pred string, score double")(F.col(quoted(text_col))).alias(found := fresh(keep, "_lid"))
+    return docs.select(*map(quoted, keep), got).select(*map(quoted, keep), f"{found}.lang_pred", f"{found}.score")

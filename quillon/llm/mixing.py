@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm._tables import fresh
+from quillon.llm._tables import fresh, quoted
 
 SUBCELLS = 64
 WORD = r"[^\x20\x09-\x0D]++"
@@ -63,14 +63,15 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     copies is at most `most` (its expectation is target / source_size, and never above). Null texts have size 0 and
     may be "taken" with no words. Null sources are one source. Repeated rows are documents of their own. Reruns agree: the
-    order within a cell is by size, then hash of id. A source without a word has target 0. Extra columns are ignored;
+    order within a cell is by size, then hash of id, then rows that tie in any order (they take alike). A source without a word has
+    target 0. Very long texts are counted whole. An empty table gives no row. Extra columns are ignored;
     `keep` must not hold the new names.
     """
     keep = [id_col] if keep is None else keep
     src, cls, sub, rank, cell_n = (fresh(keep, x) for x in ("_source", "_class", "_sub", "_rank", "_n"))
     tie = fresh(keep, "_tie")
-    got = docs.select(*keep, F.col(source_col).cast("string").alias("source_"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias(tie), n_words(F.col(text_col)).alias("size"))
-    got = got.select(*keep, "size", tie, F.coalesce(F.concat(F.lit("s"), "source_"), F.lit("n")).alias(src), size_class(F.col("size")).alias(cls), (F.conv(F.substring(tie, 1, 4), 16, 10).cast("int") % SUBCELLS).alias(sub))
+    got = docs.select(*map(quoted, keep), F.col(quoted(source_col)).cast("string").alias("source_"), F.md5(F.coalesce(F.col(quoted(id_col)).cast("string"), F.lit(""))).alias(tie), n_words(F.col(quoted(text_col))).alias("size"))
+    got = got.select(*map(quoted, keep), "size", tie, F.coalesce(F.concat(F.lit("s"), "source_"), F.lit("n")).alias(src), size_class(F.col("size")).alias(cls), (F.conv(F.substring(tie, 1, 4), 16, 10).cast("int") % SUBCELLS).alias(sub))
     cells = got.groupBy(src, cls, sub).agg(F.count(F.lit(1)).alias(cell_n), F.sum("size").alias("cell_size"))
     per_source = targets(cells.groupBy(F.expr(f"CASE WHEN `{src}` = 'n' THEN NULL ELSE substr(`{src}`, 2) END").alias("source")).agg(F.sum("cell_size").alias("size")), weights=weights, budget=budget, most=most)
     per_source = per_source.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias(src), F.col("size").alias("source_size"), "target")
@@ -82,7 +83,7 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     offset = _u(F.concat(F.lit(seed + ":"), F.col(src)))
     copies = (F.floor(ratio * done + offset) - F.floor(ratio * (done - 1) + offset)).cast("long")
     out = numbered.join(starts, [src, cls, sub]).withColumn("copies", copies)
-    return out.select(*keep, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(*map(quoted, keep), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def emit(mixed: DataFrame) -> DataFrame:

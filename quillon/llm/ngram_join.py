@@ -12,20 +12,22 @@ floor((a + b) * (den - num) / (den + num)).
    shingle hashes of each block. Of two sets that differ in D shingles, at most D blocks
    differ, so of the first D+1 non-empty blocks of either set one is equal in both. A
    document emits that many keys in its own band, and in the band below if a partner can
-   be there. A document with too few non-empty blocks emits the empty ones too, so that
-   two such documents also meet. Equal sets are collapsed first (once in each task, then
+   be there. A document with too few non-empty blocks emits those it has and goes on to another
+   cut of the hash space, until one gives enough; keys of empty blocks, which all such documents
+   would share, aren't needed. Equal sets are collapsed first (once in each task, then
    by fingerprint), so a group of copies costs one document.
 2. `_meet`: rows are dealt by key; buckets of up to SMALL sets give all their pairs, larger
-   ones their members, cut into cells of at most CELL x CELL so that no task gets a whole
-   hot bucket.
-3. `_cell_pairs`: within a cell, sketches are compared by Hamming distance in memory. The
-   first round gives only a minimal spanning forest of the pairs within the bound. Those
-   are verified, and a second round gives every pair within the bound that is still in two
-   components. No link is lost, and a group of near copies gives no square of rows.
-4. `_verify`: exact: shingle sets of the sets still in question are compared in full.
+   ones their members in parts of at most CELL: rows stay linear in the bucket.
+3. Within a part, sketches are compared by Hamming distance in memory, which gives a minimal
+   spanning forest of the pairs within the bound. These are verified, and one set of each part (of
+   its largest component) meets those of the other parts of its bucket. What is then still in two
+   components of one bucket is compared in full: cells of two parts each, every pair within the
+   bound. No link is lost, and a group of near copies gives no square of rows.
+4. `_verify`: exact. The texts of both sides meet, their words are cut again, and shingles of equal
+   hash are compared byte by byte. Texts are sent rather than sets of hashes: they are smaller.
 5. `components`: min-label propagation with pointer jumping over written tables.
 
-Identity of a shingle is a 64-bit hash. Nothing is capped.
+Sizes and sketches take a shingle by a 64-bit hash; links are decided by the words. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -38,13 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import _text as T
-from quillon.llm._tables import fresh, release, save
+from quillon.llm._sieve import perhaps
+from quillon.llm._tables import quoted, release, save, union_all
 
 SMALL = 8
 CELL = 1024
-#: Bits of the filter that keeps the texts of unconcerned documents out of the second pass:
-#: 16 for each wanted document, within these bounds (2 MB at most are broadcast).
-FILTER_BITS = (1 << 20, 1 << 24)
+#: Cuts of the hash space that a document with few shingles tries.
+CUTS = 8
 
 
 def _blocks(g: int, num: int, den: int) -> int:
@@ -59,17 +61,24 @@ def _bits(g: int, num: int, den: int) -> int:
 
 def keys_of(u: np.ndarray, g: int, most: int, num: int, den: int) -> np.ndarray:
     """Pigeonhole keys in band g of a set with sorted hashes u that must meet partners differing in up to `most` shingles."""
-    n_blocks = _blocks(g, num, den)
-    block = ((u >> np.uint64(32)) * np.uint64(n_blocks)) >> np.uint64(32)
-    at = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-    salt = np.uint64((g + 1) << 40)
-    if len(at) > most:
+    n_blocks, out = _blocks(g, num, den), []
+    for cut in range(CUTS):
+        v = np.sort(T.mix64(u + np.uint64(cut * 0x9E3779B9))) if cut else u
+        block = ((v >> np.uint64(32)) * np.uint64(n_blocks)) >> np.uint64(32)
+        at = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+        salt = np.uint64((g + 1) << 40 | cut << 32)
         full = at[: most + 1]
-        stop = at[most + 1] if len(at) > most + 1 else len(u)
-        return T.mix64(np.bitwise_xor.reduceat(u[:stop], full) ^ T.mix64(block[full] + salt))
+        stop = at[most + 1] if len(at) > most + 1 else len(v)
+        out.append(T.mix64(np.bitwise_xor.reduceat(v[:stop], full) ^ T.mix64(block[full] + salt)))
+        if len(at) > most:
+            return np.concatenate(out)
+    # No cut has enough non-empty blocks (only for similarities below 2/3, or by a chance below 10^-15): all blocks of one more cut.
+    v = np.sort(T.mix64(u + np.uint64(CUTS * 0x9E3779B9)))
+    block = (((v >> np.uint64(32)) * np.uint64(n_blocks)) >> np.uint64(32)).astype(np.int64)
     values = np.zeros(n_blocks, dtype=np.uint64)
-    values[block[at].astype(np.int64)] = np.bitwise_xor.reduceat(u, at)
-    return T.mix64(values ^ T.mix64(np.arange(n_blocks, dtype=np.uint64) + salt))
+    np.bitwise_xor.at(values, block, v)
+    out.append(T.mix64(values ^ T.mix64(np.arange(n_blocks, dtype=np.uint64) + np.uint64((g + 1) << 40 | CUTS << 32))))
+    return np.concatenate(out)
 
 
 def sketch_of(u: np.ndarray, bits: int) -> np.ndarray:
@@ -106,13 +115,13 @@ def _list_array(parts: list[np.ndarray | None]) -> pa.Array:
 
 
 def sketch(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """rows (rk long, id, text) -> (rk, id, n, fp, fp2, keys, sk); keys and sk only for the first of equal sets in a task."""
+    """rows (rk, rk2, id, text) -> (rk, rk2, id, n, fp, fp2, keys, sk); keys and sk only for the first of equal sets in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             n, fp, fp2, keys, sk = [], [], [], [], []
-            for u in _sets(T.texts_of(batch.column(2)), k):
+            for u in _sets(T.texts_of(batch.column(3)), k):
                 size, f = len(u), _fingerprint(u)
                 n.append(size)
                 fp.append(f[0])
@@ -130,9 +139,10 @@ def sketch(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     own.append(keys_of(u, g - 1, most, num, den))
                 keys.append(np.concatenate(own) if own else None)
                 sk.append(sketch_of(u, _bits(g, num, den)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.array(x, dtype=np.int64)) for x in (n, fp, fp2)), _list_array(keys), _list_array(sk)], ["rk", "id", "n", "fp", "fp2", "keys", "sk"])
+            figures = [pa.array(np.array(x, dtype=np.int64)) for x in (n, fp, fp2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *figures, _list_array(keys), _list_array(sk)], ["rk", "rk2", "id", "n", "fp", "fp2", "keys", "sk"])
 
-    return rows.select("rk", "id", "text").mapInArrow(run, f"rk long, id {rows.schema['id'].dataType.simpleString()}, n long, fp long, fp2 long, keys array<long>, sk array<long>")
+    return rows.select("rk", "rk2", "id", "text").mapInArrow(run, f"rk long, rk2 long, id {rows.schema['id'].dataType.simpleString()}, n long, fp long, fp2 long, keys array<long>, sk array<long>")
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
@@ -148,8 +158,7 @@ def _parts(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _meet(rows: DataFrame) -> DataFrame:
-    """(key, fp) -> pairs of small buckets (cell null, a < b), and members of large ones (cell, a = fp, b = side of the cell: 0 or 1
-    where opposite sides are compared, 2 where all members are). The two low bits of a cell are 0: room for the side."""
+    """(key, fp) -> pairs of small buckets (part -1; a < b), and members of large ones (key, part, a)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _gather(batches)
@@ -173,18 +182,14 @@ def _meet(rows: DataFrame) -> DataFrame:
             pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
             for lo in range(0, pairs.shape[1], 100_000):
                 part = pairs[:, lo : lo + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.nulls(part.shape[1], pa.int64()), pa.array(part[0]), pa.array(part[1])], ["cell", "a", "b"])
+                n = part.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(np.full(n, -1)), pa.array(part[0]), pa.array(part[1])], names)
         for at, s in zip(start[size > SMALL], size[size > SMALL], strict=True):
-            members, parts = fp[at : at + s], -(-int(s) // CELL)
-            for i in range(parts):
-                for j in range(i, parts):
-                    mine, other = members[i::parts], members[j::parts] if j > i else members[:0]
-                    cell = np.full(1, key[at], dtype=np.int64).view(np.uint64) + np.uint64(i * parts + j)
-                    both = np.concatenate((mine, other))
-                    side = np.repeat(np.array([0 if j > i else 2, 1], dtype=np.int64), (len(mine), len(other)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat((T.mix64(cell) & ~np.uint64(3)).view(np.int64), len(both))), pa.array(both), pa.array(side)], ["cell", "a", "b"])
+            parts = -(-int(s) // CELL)
+            yield pa.RecordBatch.from_arrays([pa.array(key[at : at + s]), pa.array(np.arange(s) % parts), pa.array(fp[at : at + s]), pa.nulls(int(s), pa.int64())], names)
 
-    return rows.repartition("key").mapInArrow(run, "cell long, a long, b long")
+    names = ["key", "part", "a", "b"]
+    return rows.repartition("key").mapInArrow(run, "key long, part long, a long, b long")
 
 
 def _bound(na: np.ndarray, nb: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -223,7 +228,7 @@ def _close(sk: list[np.ndarray], n: np.ndarray, left: np.ndarray, right: np.ndar
 
 
 def _forest(i: np.ndarray, j: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
-    """Positions of the edges of a minimal spanning forest, closest first."""
+    """Positions of the edges of a minimal spanning forest, closest first. Ties by a hash: no set becomes a hub."""
     root = list(range(n))
 
     def find(v: int) -> int:
@@ -233,7 +238,7 @@ def _forest(i: np.ndarray, j: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
         return v
 
     kept = []
-    for e in np.argsort(d, kind="stable"):
+    for e in np.lexsort((T.mix64((i * n + j).astype(np.uint64)), d)).tolist():
         a, b = find(int(i[e])), find(int(j[e]))
         if a != b:
             root[a] = b
@@ -243,63 +248,59 @@ def _forest(i: np.ndarray, j: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
     return np.array(kept, dtype=np.int64)
 
 
-def _first_met(this: int, i: np.ndarray, j: np.ndarray, of) -> np.ndarray:
-    """Positions of the pairs that no smaller cell than `this` compares. of(x): the memberships of x (cell + side)."""
-    keep, last, partners = [], None, set()
-    for e in range(len(i)):
-        if i[e] != last:
-            last, mine = i[e], of(i[e])
-            mine = mine[mine < this]
-            # the opposite side of a cell, or the same if it compares all
-            partners = set((mine ^ (1 - (mine >> 1 & 1))).tolist())
-        if not partners or partners.isdisjoint(of(j[e]).tolist()):
-            keep.append(e)
-    return np.array(keep, dtype=np.int64)
-
-
 def _cell_pairs(members: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
-    """(cell, a, b, n, sk) -> candidate pairs (a, b): a spanning forest of each cell. Without forest, with (comp, cells) too: all pairs of different
-    comp, each from the first cell that compares both (cells are memberships: cell + side)."""
+    """(key, i, j, side, a, n, sk) -> candidate pairs (a, b) of each cell (key, i, j): a spanning forest. Without forest, with comp too: all
+    pairs of different comp. Side 0 is compared with side 1, side 2 with itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _gather(batches)
         if t is None:
             return
-        cell, fp, side, n = (t.column(c).to_numpy() for c in ("cell", "a", "b", "n"))
+        key, ci, cj, side, fp, n = (t.column(c).to_numpy() for c in ("key", "i", "j", "side", "a", "n"))
         offs, flat = _parts(t.column("sk"))
         flat = flat.view(np.uint64)
-        if not forest:
-            comp = np.asarray(t.column("comp").combine_chunks().dictionary_encode().indices)
-            cell_offs, cells = _parts(t.column("cells"))
-        order = np.argsort(cell, kind="stable")
-        cuts = np.flatnonzero(np.concatenate(([True], cell[order][1:] != cell[order][:-1])))
-        got_a, got_b = [], []
+        comp = np.asarray(t.column("comp").combine_chunks().dictionary_encode().indices) if not forest else None
+        order = np.lexsort((fp, side, cj, ci, key))
+        new = (key[order][1:] != key[order][:-1]) | (ci[order][1:] != ci[order][:-1]) | (cj[order][1:] != cj[order][:-1])
+        cuts = np.flatnonzero(np.concatenate(([True], new)))
+        got_a, got_b, held = [], [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            a, b = np.concatenate(got_a), np.concatenate(got_b)
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            for lo in range(0, pairs.shape[1], 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0, lo : lo + 100_000]), pa.array(pairs[1, lo : lo + 100_000])], ["a", "b"])
+
         for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
             rows = order[lo:hi]
-            rows = rows[np.lexsort((fp[rows], side[rows]))]
             here = np.arange(len(rows))
             left = here[side[rows] != 1]
             right = here[side[rows] == 1] if (side[rows] == 1).any() else left
             i, j, d = _close([flat[offs[r] : offs[r + 1]] for r in rows], n[rows], left, right, num, den, here if forest else comp[rows])
-            if forest:
-                keep = _forest(i, j, d, len(rows))
-            else:
-                this = int(cell[rows[0]])
-                keep = _first_met(this, i, j, lambda x: cells[cell_offs[rows[x]] : cell_offs[rows[x] + 1]])  # noqa: B023
+            keep = _forest(i, j, d, len(rows)) if forest else np.arange(len(i))
             got_a.append(fp[rows[i[keep]]])
             got_b.append(fp[rows[j[keep]]])
-        a, b = np.concatenate(got_a), np.concatenate(got_b)
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        for lo in range(0, pairs.shape[1], 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0, lo : lo + 100_000]), pa.array(pairs[1, lo : lo + 100_000])], ["a", "b"])
+            held += len(keep)
+            if held > 1_000_000:
+                yield from out()
+                got_a, got_b, held = [], [], 0
+        if got_a:
+            yield from out()
 
-    return members.repartition("cell").mapInArrow(run, "a long, b long")
+    return members.repartition("key", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def _cells(members: DataFrame) -> DataFrame:
+    """(key, part, parts, a, comp) -> (key, i, j, side, a, comp): each member in the cells of its part with every part of the bucket."""
+    every = members.select("key", "part", "a", "comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("q"))
+    side = F.when(F.col("q") == F.col("part"), 2).when(F.col("part") < F.col("q"), 0).otherwise(1)
+    return every.select("key", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), side.alias("side"), "a", "comp")
 
 
 def _near(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs within the Hamming bound (JVM only): the longer sketch is folded onto the shorter."""
     s = lambda side: sketches.select(F.col("fp").alias(side), F.col("n").alias(f"n{side}"), F.col("sk").alias(f"s{side}"))
-    both = pairs.join(s("a"), "a").join(s("b"), "b")
+    both = pairs.join(s("a").hint("merge"), "a").join(s("b").hint("merge"), "b")
     least = F.least(F.size("sa"), F.size("sb"))
 
     def folded(c: str):
@@ -309,47 +310,70 @@ def _near(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFram
     return both.where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (dist <= F.floor((F.col("na") + F.col("nb")) * (den - num) / (den + num)))).select("a", "b")
 
 
-def _wanted_filter(keys: DataFrame, spark) -> tuple[object, int]:
-    """Bit table (bounded by FILTER_BITS) over `rk` of the wanted rows."""
-    count = keys.count()
-    bits = min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (16 * max(1, count)).bit_length()))
-    at = F.pmod(F.col("rk"), F.lit(bits))
-    words = np.zeros(bits // 64, dtype=np.uint64)
-    found = keys.select(at.alias("p")).groupBy(F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("v")).toArrow()
-    if found.num_rows:
-        words[found.column("w").to_numpy()] = found.column("v").to_numpy().view(np.uint64)
-    return spark.sparkContext.broadcast(words), bits
+def _vertex(fp, fp2):
+    return F.concat(F.hex(fp), F.lit("."), F.hex(fp2))
 
 
-def _sets_of(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """Shingle sets (fp, fp2, tokens) of the wanted rows (rk): one more pass over the texts, which are never shuffled."""
-    table, bits = _wanted_filter(wanted, rows.sparkSession)
+def shared(w: T.Words, grams: list[tuple[np.ndarray, np.ndarray]], x: int, y: int, k: int) -> int:
+    """Number of shingles that texts x and y of w share: equal hashes, then equal bytes. grams: per text, distinct hashes and a word where each begins."""
+    _, i, j = np.intersect1d(grams[x][0], grams[y][0], assume_unique=True, return_indices=True)
+    i, j = grams[x][1][i], grams[y][1][j]
+    ok = np.ones(len(i), dtype=bool)
+    for o in range(k):
+        ok &= w.same(i + o, w, j + o)
+    return int(ok.sum())
+
+
+def _linked(a: list[bytes], b: list[bytes], prints: np.ndarray, k: int, num: int, den: int) -> np.ndarray:
+    """Whether texts a[i] and b[i] have the fingerprints they are named by (prints: fp, fp2 of either) and link."""
+    out = np.zeros(len(a), dtype=bool)
+    limit = T.CHUNK_BYTES // 2
+    for lo, hi in T.chunks([x + y for x, y in zip(a, b, strict=True)], limit):
+        texts = [t for pair in zip(a[lo:hi], b[lo:hi], strict=True) for t in pair]
+        names = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+        w = T.Words(list(names), T.NON_BLANK, lower=True)
+        runs, grams, count = T.runs(w.h, k), [], np.diff(w.first)
+        for first, last in zip(w.first[:-1], w.first[1:], strict=True):
+            if last - first >= k:
+                u, at = np.unique(runs[first : last - k + 1], return_index=True)
+                grams.append((u, at + first))
+            else:
+                grams.append((T.shingles(w.h[first:last], runs[:0], k), np.arange(first, first + (last > first))))
+        for i in range(lo, hi):
+            x, y = names[a[i]], names[b[i]]
+            if (*_fingerprint(grams[x][0]), *_fingerprint(grams[y][0])) != tuple(prints[i].tolist()):
+                continue
+            nx, ny = len(grams[x][0]), len(grams[y][0])
+            size = k if min(count[x], count[y]) >= k else int(count[x]) if count[x] == count[y] else 0
+            both = shared(w, grams, x, y, size) if size else 0
+            out[i] = both * den >= (nx + ny - both) * num and both > 0
+    return out
+
+
+def _verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b) of fingerprints -> links (a, b, u, v), u and v being vertices whose exact similarity is num/den or more. One pass over the
+    texts; only those of the classes in question are shuffled."""
+    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    who = save(classes.join(ends, "fp", "left_semi").select("fp", "fp2", "rk", "rk2"), "ends")
+    # One row of each repeated row; a row's key is 128 bits.
+    texts = rows.where(perhaps(who, "rk")).groupBy("rk", "rk2").agg(F.first("text").alias("text"))
+    name = lambda side: who.select(*(F.col(c).alias(c + side) for c in ("fp", "fp2", "rk", "rk2")))
+    text = lambda side: texts.select(*(F.col(c).alias(c + side) for c in ("rk", "rk2", "text"))).hint("merge")
+    named = pairs.select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).join(name("_a").hint("merge"), "fp_a").join(name("_b").hint("merge"), "fp_b")
+    both = named.join(text("_a"), ["rk_a", "rk2_a"]).join(text("_b"), ["rk_b", "rk2_b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.mod(batch.column(0).to_numpy(), bits)
-            hit = np.flatnonzero((table.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
-            if not len(hit):
-                continue
-            part = batch.take(pa.array(hit))
-            sets = list(_sets(T.texts_of(part.column(1)), k))
-            prints = np.array([_fingerprint(u) for u in sets], dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints[:, 0]), pa.array(prints[:, 1]), _list_array(sets)], ["rk", "fp", "fp2", "tokens"])
-
-    made = rows.select("rk", "text").mapInArrow(run, "rk long, fp long, fp2 long, tokens array<long>")
-    return made.join(wanted, "rk", "left_semi").groupBy("fp", "fp2").agg(F.first("tokens").alias("tokens"))
+            prints = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)
+            a, b = T.texts_of(batch.column(4)), T.texts_of(batch.column(5))
+            for lo, hi in T.chunks(a, 1 << 22):
+                ok = np.flatnonzero(_linked(a[lo:hi], b[lo:hi], prints[lo:hi], k, num, den)) + lo
+                yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(ok)) for i in range(4)], ["fp_a", "fp2_a", "fp_b", "fp2_b"])
 
-
-def _vertex(fp, fp2):
-    return F.concat(F.hex(fp), F.lit("."), F.hex(fp2))
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of fingerprints -> links (u, v) of vertices whose exact similarity is num/den or more."""
-    s = lambda side: sets.select(F.col("fp").alias(side), _vertex("fp", "fp2").alias(f"v{side}"), F.col("tokens").alias(f"t{side}"))
-    both = pairs.join(s("a"), "a").join(s("b"), "b").where(F.col("va") != F.col("vb"))
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return both.where(shared * den >= (F.size("ta") + F.size("tb") - shared) * num).select(F.col("va").alias("u"), F.col("vb").alias("v"))
+    met = both.select("fp_a", "fp2_a", "fp_b", "fp2_b", "text_a", "text_b").mapInArrow(run, "fp_a long, fp2_a long, fp_b long, fp2_b long")
+    links = save(met.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"), _vertex("fp_a", "fp2_a").alias("u"), _vertex("fp_b", "fp2_b").alias("v")), "links")
+    release(who)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -360,7 +384,7 @@ def components(links: DataFrame) -> DataFrame:
         of_v = labels.select(F.col("u").alias("v"), F.col("root").alias("m"))
         least = edges.join(of_v, "v").groupBy("u").agg(F.min("m").alias("m"))
         step = labels.join(least, "u").select("u", F.col("root").alias("was"), F.least("root", "m").alias("root"))
-        jump = labels.select(F.col("u").alias("root"), F.col("root").alias("far"))
+        jump = labels.where("u <> root").select(F.col("u").alias("root"), F.col("root").alias("far"))
         after = save(step.join(jump, "root", "left").select("u", "was", F.least("root", F.coalesce("far", "root")).alias("root")), "labels")
         moved = after.where("was <> root").limit(1).count()
         release(labels)
@@ -378,76 +402,98 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     Words are runs of non-blanks, A-Z lower-cased. Fewer than k words: the whole sequence is one
     shingle. Null and blank texts have the empty set and link with nothing, so their component is
     their own id. Equal sets always link. Repeated rows give repeated results. A null id takes part
-    in links but is never the smallest; alone, its component is null. Extra columns are ignored.
+    in links but is never the smallest; alone, its component is null. Very long texts are taken whole (a text
+    has to fit in a worker several times). An empty table gives no row. Extra columns are ignored.
     """
-    return _components_of(docs, id_col, text_col, k, num, den).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
-
-
-def _row_key(id_col: str, text_col: str):
-    return F.xxhash64(id_col, text_col)
-
-
-def _components_of(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """(rk, id, n, component_id) per row."""
-    rows = docs.select(_row_key(id_col, text_col).alias("rk"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    made = save(sketch(rows, k, num, den), "sketches")
-    classes = made.where("n > 0").groupBy("fp", "fp2").agg(F.min("id").alias("least"), F.min("rk").alias("rk"), F.count(F.lit(1)).alias("copies"))
-    met = save(_meet(made.select(F.explode("keys").alias("key"), "fp")), "met")
-    sketches = made.where(F.size("sk") > 0).select("fp", "n", "sk")
-
-    small = met.where("cell is null").select("a", "b").distinct()
-    members = met.where("cell is not null")
-    mine = members.select(F.col("a").alias("fp")).distinct()
-    info = sketches.join(mine, "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.first("sk").alias("sk"))
-    info = save(info, "members")
-    with_sketch = lambda rows: rows.join(info.withColumnRenamed("fp", "a"), "a")
-
-    # First round: pairs of small buckets within the bound, and a forest of each large bucket.
-    ends = small.select(F.col("a").alias("fp")).union(small.select("b")).distinct()
-    light = sketches.join(ends, "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.first("sk").alias("sk"))
-    tried = save(_near(small, light, num, den).union(_cell_pairs(with_sketch(members), num, den, forest=True)).distinct(), "tried")
-    of_class = lambda pairs: classes.join(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "fp", "left_semi").select("rk").distinct()
-    # Texts are read once more, for whatever either round can ask for.
-    sets = save(_sets_of(rows, of_class(tried.union(members.select("a", F.col("a").alias("b")))), k), "sets")
-    links = save(_verify(tried, sets, num, den), "links")
-    comp = components(links)
-    # Second round: what is within the bound and still apart.
-    by_fp = sets.select(F.col("fp").alias("a"), _vertex("fp", "fp2").alias("u")).join(comp, "u").select("a", F.col("root").alias("comp")).dropDuplicates(["a"])
-    placed = members.join(by_fp, "a", "left").withColumn("comp", F.coalesce("comp", F.col("a").cast("string")))
-    apart = placed.groupBy("cell").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("cell")
-    placed = save(placed.join(apart, "cell", "left_semi"), "apart")
-    cells = placed.groupBy("a").agg(F.collect_set(F.col("cell") + F.col("b")).alias("cells"))
-    rest = _cell_pairs(with_sketch(placed).join(cells, "a"), num, den, forest=False).join(tried, ["a", "b"], "left_anti").distinct()
-    more = save(_verify(rest, sets, num, den), "links")
-    if more.limit(1).count():
-        release(comp)
-        comp = components(links.union(more))
+    return _components_of(docs, id_col, text_col, k, num, den)[0].select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(rk, rk2, id, text): two hashes of id and text name a row's content."""
+    i, t = F.col(quoted(id_col)), F.col(quoted(text_col))
+    return docs.select(F.xxhash64(i, t).alias("rk"), F.xxhash64(t, F.lit(7), i).alias("rk2"), i.alias("id"), t.alias("text"))
+
+
+def _components_of(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(rk, rk2, id, n, component_id) per row, and the tables it reads."""
+    rows = _keyed(docs, id_col, text_col)
+    heavy = save(sketch(rows, k, num, den), "sketches")
+    made = save(heavy.select("rk", "rk2", "id", "n", "fp", "fp2"), "sets")
+    one = F.min(F.struct("rk", "rk2"))
+    classes = made.where("n > 0").groupBy("fp", "fp2").agg(F.min("id").alias("least"), one.alias("row"), F.count(F.lit(1)).alias("copies"))
+    classes = classes.select("fp", "fp2", "least", "copies", "row.rk", "row.rk2")
+    met = save(_meet(heavy.select(F.explode("keys").alias("key"), "fp")), "met")
+    sketches = heavy.where(F.size("sk") > 0).select("fp", "n", "sk")
+
+    small, members = met.where("part < 0").select("a", "b").distinct(), met.where("part >= 0").select("key", "part", "a")
+    of = lambda fps: sketches.join(fps.distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.first("sk").alias("sk"))
+    info = save(of(members.select(F.col("a").alias("fp"))), "members")
+    with_sketch = lambda cells: cells.join(info.withColumnRenamed("fp", "a").hint("merge"), "a")
+
+    # First round: pairs of small buckets within the bound, and a forest of each part of a large one.
+    light = of(small.select(F.col("a").alias("fp")).union(small.select("b")))
+    own = members.select("key", F.col("part").alias("i"), F.col("part").alias("j"), F.lit(2).alias("side"), "a")
+    tried = save(_near(small, light, num, den).union(_cell_pairs(with_sketch(own), num, den, forest=True)).distinct(), "tried")
+    links = [_verify(tried, rows, classes, k, num, den)]
+    comp = components(links[0])
+    tables = [heavy, met, info, tried]
+
+    def apart() -> DataFrame:
+        """Members of buckets that hold more than one component, with it."""
+        met_links = union_all(links)
+        by_fp = met_links.select("a", "u").union(met_links.select("b", "v")).distinct().join(comp, "u").groupBy("a").agg(F.min("root").alias("comp"))
+        placed = members.join(by_fp.hint("merge"), "a", "left").withColumn("comp", F.coalesce("comp", F.col("a").cast("string")))
+        several = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), (F.max("part") + 1).alias("parts")).where("x <> y").select("key", "parts")
+        tables.append(save(placed.join(several.hint("merge"), "key"), "apart"))
+        return tables[-1]
+
+    def add(pairs: DataFrame) -> None:
+        nonlocal comp
+        tables.append(save(pairs.join(tried, ["a", "b"], "left_anti").distinct(), "tried"))
+        if not tables[-1].isEmpty():
+            links.append(_verify(tables[-1], rows, classes, k, num, den))
+            if not links[-1].isEmpty():
+                release(comp)
+                comp = components(union_all(links))
+
+    # Second round: one set of each part, of its largest component, meets those of the bucket's other parts.
+    split = apart()
+    if not split.where("parts > 1").isEmpty():
+        sizes = split.where("parts > 1").groupBy("key", "part", "comp").agg(F.count(F.lit(1)).alias("c"), F.min("a").alias("a"))
+        chosen = sizes.groupBy("key", "part").agg(F.max(F.struct("c", "comp", "a")).alias("x"))
+        cell = F.floor(F.col("part") / CELL)
+        add(_cell_pairs(with_sketch(chosen.select("key", cell.alias("i"), cell.alias("j"), F.lit(2).alias("side"), F.col("x.a").alias("a"))), num, den, forest=True))
+        split = apart()
+    # Third round: whatever is within the bound and still apart.
+    if not split.isEmpty():
+        add(_cell_pairs(with_sketch(_cells(split)), num, den, forest=False))
+
     of = classes.select("fp", "fp2", "least", "copies", _vertex("fp", "fp2").alias("u")).join(comp, "u", "left")
     small_root = of.where("root is not null").groupBy("root").agg(F.min("least").alias("least_of"))
     moved = save(of.where("root is not null or copies > 1").join(small_root, "root", "left").select("fp", "fp2", F.coalesce("least_of", "least").alias("component_id")), "moved")
-    release(met, info, placed, tried, sets, links, more, comp)
-    return made.select("rk", "id", "n", "fp", "fp2").join(moved, ["fp", "fp2"], "left").select("rk", "id", "n", F.coalesce("component_id", "id").alias("component_id"))
+    release(comp, *tables, *links)
+    out = made.join(moved, ["fp", "fp2"], "left").select("rk", "rk2", "id", "n", F.coalesce("component_id", "id").alias("component_id"))
+    return out, [made, moved]
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one row of each group of near copies: the one with the group's smallest id. Columns stay.
 
-    Rows that are alone stay as they are, also with null ids or empty texts. Of repeated rows (equal id and text) one stays. Of a
-    group without any id all different texts stay.
+    Rows that are alone stay as they are, also with null ids or empty texts; an empty table stays empty. Of repeated rows (equal id and
+    text) one stays. Of rows with one id and different texts of a group all stay. Of a group without any id all different texts stay.
+    Very long texts are compared whole. Extra columns may have any names.
 
-    Only rows that may have to go are shuffled: a bit table over their keys (bounded by FILTER_BITS) lets the others pass.
+    Only rows that may have to go are shuffled: a bit table over their keys (`_sieve`) lets the others pass.
+    A row is named by 128 bits of its id and text.
     """
-    key, names = fresh(docs.columns, "row_key"), docs.columns
-    found = save(_components_of(docs, id_col, text_col, k, num, den), "components")
-    gone = save(found.where(F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col("id"))).select("rk").distinct(), "gone")
-    twice = found.groupBy("rk").count().where("count > 1").select("rk")
-    table, bits = _wanted_filter(gone.union(twice), docs.sparkSession)
-
-    def perhaps(rk: pa.Array) -> pa.Array:
-        at = np.mod(rk.to_numpy(), bits)
-        return pa.array(((table.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)) > 0)
-
-    marked = docs.withColumn(key, _row_key(id_col, text_col))
-    hit = F.arrow_udf(perhaps, "boolean")(F.col(key))
-    checked = marked.where(hit).join(gone.withColumnRenamed("rk", key).hint("merge"), key, "left_anti").dropDuplicates([key])
-    return marked.where(~hit).select(names).unionByName(checked.select(names))
+    names = docs.columns
+    lazy, parts = _components_of(docs, id_col, text_col, k, num, den)
+    found = save(lazy, "components")
+    gone = save(found.where(F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col("id"))).select("rk", "rk2").distinct(), "gone")
+    twice = found.groupBy("rk", "rk2").count().where("count > 1").select("rk", "rk2")
+    hit = perhaps(gone.union(twice), "rk")
+    release(found, *parts)
+    i, t = F.col(quoted(id_col)), F.col(quoted(text_col))
+    boxed = docs.select(F.struct(*(F.col(quoted(c)) for c in names)).alias("box"), F.xxhash64(i, t).alias("rk"), F.xxhash64(t, F.lit(7), i).alias("rk2"))
+    checked = boxed.where(hit).join(gone.hint("merge"), ["rk", "rk2"], "left_anti").dropDuplicates(["rk", "rk2"])
+    return boxed.where(~hit).select("box.*").unionByName(checked.select("box.*"))

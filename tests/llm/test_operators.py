@@ -31,14 +31,13 @@ from quillon.llm.token_count import Counter, splits_at_blanks, token_count
 SF, SF2 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside must not clash with extra columns.
-EXTRA = ["score", "fp", "n", "size", "h", "rk", "id", "label", "keys", "line", "salt", "source_", "raw"]
+EXTRA = ["score", "fp", "n", "size", "h", "rk", "rk2", "id", "label", "keys", "line", "salt", "source_", "raw", "a.b", "g", "_lid"]
 
 
 def docs_of(spark, texts, **cols):
     rows = [(i, t, None, "s", None) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, DOC)
-    for c in EXTRA:
-        df = df.withColumn(c, F.lit("x"))
+    df = df.withColumns({c: F.lit("x") for c in EXTRA})
     for c, v in cols.items():
         df = df.withColumn(c, v)
     return df
@@ -173,11 +172,57 @@ def test_ngram_large_buckets(spark, monkeypatch):
     sets = {N._fingerprint(u)[0]: u for u in (np.delete(base, rng.integers(0, 300, 4)) for _ in range(60))}
     keys = [(k, fp) for fp in sets for k in T.mix64(np.arange(20, dtype=np.uint64)).view(np.int64).tolist() if rng.random() < 0.9]
     info = spark.createDataFrame([(fp, len(u), [int(x) for x in N.sketch_of(u, 1024).view(np.int64)]) for fp, u in sets.items()], "a long, n long, sk array<long>")
-    met = N._meet(spark.createDataFrame(keys, "key long, fp long"))
-    members = met.where("cell is not null").withColumn("comp", F.col("a").cast("string")).join(info, "a").cache()
-    cells = members.groupBy("a").agg(F.collect_set(F.col("cell") + F.col("b")).alias("cells"))
-    got = [(r.a, r.b) for r in N._cell_pairs(members.join(cells, "a"), 90, 100, forest=False).collect()]
-    assert sorted(got) == sorted((a, b) for a in sets for b in sets if a < b)  # all, each once
+    members = N._meet(spark.createDataFrame(keys, "key long, fp long")).where("part >= 0").cache()
+    assert members.groupBy("key", "part").count().agg(F.max("count")).first()[0] <= 8
+    split = members.withColumn("comp", F.col("a").cast("string")).join(members.groupBy("key").agg((F.max("part") + 1).alias("parts")), "key")
+    got = {(r.a, r.b) for r in N._cell_pairs(N._cells(split).join(info, "a"), 90, 100, forest=False).collect()}
+    assert got == {(a, b) for a in sets for b in sets if a < b}
+
+
+def test_ngram_group_stays_linear(spark, monkeypatch):
+    """A large group of near copies: a forest of each part and one set of each part, then nothing is left to compare."""
+    monkeypatch.setattr(N, "SMALL", 2)
+    monkeypatch.setattr(N, "CELL", 8)
+    verified = []
+    monkeypatch.setattr(N, "_verify", lambda pairs, *a, real=N._verify: verified.append(pairs.count()) or real(pairs, *a))
+    words = [f"w{x}" for x in range(400)]
+    texts = [" ".join([*words[:i], "own", *words[i + 1 :]]) for i in range(0, 400, 2)]
+    df = docs_of(spark, texts)
+    got = collected(N.ngram_join(df, k=1, num=80, den=100), "doc_id", "component_id")
+    assert got == sorted(((i, 0) for i in range(200)), key=str)
+    assert len(verified) <= 2 and sum(verified) < 200 * 20  # of 19,900 pairs; each of up to 81 keys has its own forest
+
+
+def thue_morse(n):
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_periodic_words_do_not_collide(spark, size):
+    """Words that polynomial hashes modulo 2^64 can't tell apart."""
+    a, b = thue_morse(size)
+    pairs = [(a, b), (f"x {a} y z", f"x {b} y z"), (f"{a} q {b}", f"{b} q {a}")]
+    texts = [t for p in pairs for t in p]
+    df = docs_of(spark, texts)
+    rows = list(enumerate(texts))
+    assert collected(N.ngram_join(df, k=3, num=90, den=100), "doc_id", "n_shingles", "component_id") == brute.near(rows, 3, 90, 100)
+    assert collected(N.keep_one(df), "doc_id") == [(i,) for i in range(6)]
+    long_ = [a + " " + " ".join(f"w{i}" for i in range(9)), b + " " + " ".join(f"w{i}" for i in range(9))]
+    items = spark.createDataFrame([("a", long_[0]), ("b", a), ("c", b)], "item_id string, text string")
+    found = decontaminate(docs_of(spark, [*long_, a, b]), items)
+    assert collected(found, "doc_id", "n_words", "n_hit", "items") == brute.windows(list(enumerate([*long_, a, b])), [("a", long_[0]), ("b", a), ("c", b)])
+    five = [" ".join([x, "a", "b", "c", "d", y, "a", "b", "c", "d"]) for x in (a, b) for y in (a, b)]
+    got = quality_rules(docs_of(spark, five)).orderBy("doc_id").collect()
+    assert [r.n_repeat_words for r in got] == [brute.figures(t)[4] for t in five]
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path())
+    texts += [x + y for x in thue_morse(size) for y in "abc"]
+    got = token_count(docs_of(spark, texts), tokenizer_path()).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in got] == [len(sp.encode(t)) for t in texts]
 
 
 @pytest.mark.parametrize("seed", range(2))
@@ -407,7 +452,7 @@ def test_tokens_equal_the_library(spark):
 
 def check_sql(spark, name, sf):
     c = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got, want = QUERIES[name](spark, sf).toPandas(), c.sql(ORACLES[name]).df()
     cols = sorted(want.columns)
@@ -415,3 +460,33 @@ def check_sql(spark, name, sf):
     a, b = (x[cols].sort_values(cols).reset_index(drop=True) for x in (got, want))
     for k in cols:
         assert (a[k].values == b[k].values).all(), k
+
+
+@pytest.mark.parametrize("name", ["op4_ngram_join", "op6_quality_rules", "op7_decontaminate"])
+def test_whole_queries_equal_their_sql(spark, name):
+    check_sql(spark, name, SF)
+
+
+def test_exact_quantile(spark):
+    from quillon.llm.bt_quality import of_rank, ordered_bits
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate((rng.normal(0, 5, 300), np.repeat(rng.normal(0, 1, 5), 20), [0.0, -0.0, 1e-300, -1e-300, 1e300, -1e300]))
+    bits = spark.createDataFrame([(int(b),) for b in ordered_bits(x)], "bits long").cache()
+    want = np.sort(x)
+    for k in (0, 1, 17, 150, 203, 300, len(x) - 2, len(x) - 1):
+        assert of_rank(bits, k) == want[k]
+
+
+def test_letters_not_bytes_decide(spark):
+    train = spark.createDataFrame([(1, "the cat and the dog were here with them", "en"), (2, "η γατα και ο σκυλος ειναι εδω μαζι τους", "el")], "id long, text string, lang string")
+    (r,) = language_id(docs_of(spark, ["the cat and the dog the cat and γατα σκυλος ειναι εδω"]), train, keep=["doc_id", "_lid"]).collect()
+    assert r.lang_pred == "en" and r.score == pytest.approx(24 / 42)
+
+
+def test_repeated_ids_keep_the_sample_bounded(spark):
+    from quillon.llm._tables import sampled_texts
+
+    docs = docs_of(spark, ["b", "a", "c"] * 50).withColumn("doc_id", F.col("doc_id") % 3)
+    some = spark.createDataFrame([(0, 1), (2, 0), (9, 0)], "id long, label int")
+    assert collected(sampled_texts(docs, some, "doc_id", "text"), "id", "label", "text") == [(0, 1, "b"), (2, 0, "c")]
