@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm._tables import crc_mod, save, table
+from quillon.llm._tables import crc_mod, fresh, quoted, release, save, table
 from quillon.llm.bt_quality import bt_quality
 from quillon.llm.decontaminate import decontaminate
 from quillon.llm.line_dedup import line_dedup
@@ -17,7 +17,7 @@ WINDOW = 8
 
 def _boxed(docs: DataFrame) -> DataFrame:
     """All columns in one, beside those an operator reads, so that no name can clash."""
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("box"), "doc_id", "text", "source")
+    return docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("box"), "doc_id", "text", "source")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that too many pages of a source hold go; every document stays."""
-    return line_dedup(docs, host=F.col("source")).select(docs.columns)
+    return line_dedup(docs, host=F.col("source")).select(*map(quoted, docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +43,9 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with the number of copies and the words taken."""
-    return mix_sources(_boxed(docs), keep=["box"]).where("copies > 0").select("box.*", F.col("copies").alias("mix_copies"), F.col("taken").alias("mix_words"))
+    """The documents that the mix takes, with two new columns: the number of copies and the words taken."""
+    copies, words = (fresh(docs.columns, x) for x in ("mix_copies", "mix_words"))
+    return mix_sources(_boxed(docs), keep=["box"]).where("copies > 0").select("box.*", F.col("copies").alias(copies), F.col("taken").alias(words))
 
 
 STAGES = [
@@ -62,5 +63,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
