@@ -22,11 +22,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of an Arrow batch while a table is written: a task holds a few batches in the JVM and in its worker.
+BATCH_BYTES = 1 << 23
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df to the shared folder and reads it again. The files carry `stored_path`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out

@@ -17,11 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import _text as T
-from quillon.llm._sieve import perhaps
+from quillon.llm._sieve import Sieve
 from quillon.llm._tables import fresh, quoted, release, sampled_texts, save
 
 #: At most so many labelled rows of each class are used to fit the weights (the first by hash of the id).
@@ -75,8 +76,9 @@ class Model:
     scale: np.ndarray
     weights: np.ndarray
 
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights
+    def raw(self, texts: list[bytes] | T.Texts) -> np.ndarray:
+        parts = (features(texts[lo:hi]) for lo, hi in T.chunks(texts, 1 << 22))
+        return np.concatenate([np.zeros(0), *(np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights for x in parts)])
 
 
 def fit(x: np.ndarray, good: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> Model:
@@ -158,16 +160,20 @@ def bt_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, id
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for t in batches:
-            yield pa.array(model.raw(features(T.texts_of(t))), pa.float64())
+            yield pa.array(model.raw(T.texts_of(t)), pa.float64())
 
-    def bits(t: pa.Array) -> pa.Array:
-        return pa.array(ordered_bits(model.raw(features(T.texts_of(t)))))
+    # The line: only texts that may be labelled are scored for it. One function does both, so that a task has one worker.
+    sieve = Sieve(labels.select(F.xxhash64("id").alias("k")), "k")
+
+    def bits(k: pa.Array, t: pa.Array) -> pa.Array:
+        at = pa.array(np.flatnonzero(sieve.mask(k.to_numpy(zero_copy_only=False))))
+        found = ordered_bits(model.raw(T.texts_of(t.take(at))))
+        return pa.array(found).take(pc.index_in(pa.array(np.arange(len(t))), at))
 
     score.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    # The line: only texts that may be labelled are scored for it.
     texts = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
-    known = texts.where(perhaps(labels.select(F.xxhash64("id").alias("k")), "k", F.xxhash64("id")))
-    seen = save(known.select("id", F.arrow_udf(bits, "long")("text").alias("bits")).join(labels, "id").select("bits", "label"), "labelled")
+    known = texts.select("id", F.arrow_udf(bits, "long")(F.xxhash64("id"), "text").alias("bits")).where("bits is not null")
+    seen = save(known.join(labels, "id").select("bits", "label"), "labelled")
     total = seen.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col("label") == 0).cast("long")), F.lit(0)).alias("bad")).first()
     line = 0.0
     if 0 < total.bad < total.n:

@@ -16,8 +16,8 @@ floor((a + b) * (den - num) / (den + num)).
    cut of the hash space, until one gives enough; keys of empty blocks, which all such documents
    would share, aren't needed. Equal sets are collapsed first (once in each task, then
    by fingerprint), so a group of copies costs one document.
-2. `_meet`: rows are dealt by key; buckets of up to SMALL sets give all their pairs, larger
-   ones their members in parts of at most CELL: rows stay linear in the bucket.
+2. `_meet`: rows are dealt and sorted by key; buckets of up to SMALL sets give all their pairs, larger
+   ones their members in parts of at most CELL: rows stay linear in the bucket, and none is held in full.
 3. Within a part, sketches are compared by Hamming distance in memory, which gives a minimal
    spanning forest of the pairs within the bound. These are verified, and one set of each part (of
    its largest component) meets those of the other parts of its bucket. What is then still in two
@@ -45,6 +45,8 @@ from quillon.llm._tables import quoted, release, save, union_all
 
 SMALL = 8
 CELL = 1024
+#: Bytes of texts that are sketched, or verified on one side, before rows leave a worker.
+PIECE = 1 << 21
 #: Cuts of the hash space that a document with few shingles tries.
 CUTS = 8
 
@@ -120,34 +122,55 @@ def sketch(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            n, fp, fp2, keys, sk = [], [], [], [], []
-            for u in _sets(T.texts_of(batch.column(3)), k):
-                size, f = len(u), _fingerprint(u)
-                n.append(size)
-                fp.append(f[0])
-                fp2.append(f[1])
-                if not size or f in seen:
-                    keys.append(None)
-                    sk.append(None)
-                    continue
-                seen.add(f)
-                g, own = size.bit_length() - 1, []
-                if (most := size * (den - num) // num) > 0:
-                    own.append(keys_of(u, g, most, num, den))
-                least = (size * num + den - 1) // den
-                if g and least < (1 << g) and (most := ((1 << g) - 1) * (den - num) // num) > 0:
-                    own.append(keys_of(u, g - 1, most, num, den))
-                keys.append(np.concatenate(own) if own else None)
-                sk.append(sketch_of(u, _bits(g, num, den)))
-            figures = [pa.array(np.array(x, dtype=np.int64)) for x in (n, fp, fp2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *figures, _list_array(keys), _list_array(sk)], ["rk", "rk2", "id", "n", "fp", "fp2", "keys", "sk"])
+            texts = T.texts_of(batch.column(3))
+            for lo, hi in T.chunks(texts, PIECE):
+                n, fp, fp2, keys, sk = [], [], [], [], []
+                for u in _sets(texts[lo:hi], k):
+                    size, f = len(u), _fingerprint(u)
+                    n.append(size)
+                    fp.append(f[0])
+                    fp2.append(f[1])
+                    if not size or f in seen:
+                        keys.append(None)
+                        sk.append(None)
+                        continue
+                    seen.add(f)
+                    g, own = size.bit_length() - 1, []
+                    if (most := size * (den - num) // num) > 0:
+                        own.append(keys_of(u, g, most, num, den))
+                    least = (size * num + den - 1) // den
+                    if g and least < (1 << g) and (most := ((1 << g) - 1) * (den - num) // num) > 0:
+                        own.append(keys_of(u, g - 1, most, num, den))
+                    keys.append(np.concatenate(own) if own else None)
+                    sk.append(sketch_of(u, _bits(g, num, den)))
+                figures = [pa.array(np.array(x, dtype=np.int64)) for x in (n, fp, fp2)]
+                ids = [batch.column(i).slice(lo, hi - lo) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*ids, *figures, _list_array(keys), _list_array(sk)], ["rk", "rk2", "id", "n", "fp", "fp2", "keys", "sk"])
 
     return rows.select("rk", "rk2", "id", "text").mapInArrow(run, f"rk long, rk2 long, id {rows.schema['id'].dataType.simpleString()}, n long, fp long, fp2 long, keys array<long>, sk array<long>")
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    got = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(got).combine_chunks() if got else None
+def _whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Sorted batches as tables that end where a group ends: what is held is a batch and one group."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(c).to_numpy() for c in by]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        first = tuple(c[0] for c in cols)
+        cut = change[-1] if len(change) else 0
+        if held and first != last:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+            held = []
+        held.append(batch.slice(cut))
+        last = tuple(c[-1] for c in cols)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def _parts(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,38 +181,60 @@ def _parts(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _meet(rows: DataFrame) -> DataFrame:
-    """(key, fp) -> pairs of small buckets (part -1; a < b), and members of large ones (key, part, a)."""
+    """(key, fp) -> pairs of small buckets (part -1; a < b), and members of large ones (key, part, a). Rows come sorted; of a bucket
+    only its first sets are held."""
+    names = ["key", "part", "a", "b"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _gather(batches)
-        if t is None:
-            return
-        key, fp = (t.column(i).to_numpy() for i in range(2))
-        order = np.lexsort((fp, key))
-        key, fp = key[order], fp[order]
-        first = np.concatenate(([True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])))
-        key, fp = key[first], fp[first]
-        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        size = np.diff(np.append(start, len(key)))
-        a, b = [], []
+    def members(key: np.ndarray, fp: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(rank // CELL), pa.array(fp), pa.nulls(len(key), pa.int64())], names)
+
+    def small(fp: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for s in range(2, SMALL + 1):
             at = start[size == s]
             for i in range(s):
                 for j in range(i + 1, s):
                     a.append(fp[at + i])
                     b.append(fp[at + j])
-        if a and sum(map(len, a)):
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-            for lo in range(0, pairs.shape[1], 100_000):
-                part = pairs[:, lo : lo + 100_000]
-                n = part.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(np.full(n, -1)), pa.array(part[0]), pa.array(part[1])], names)
-        for at, s in zip(start[size > SMALL], size[size > SMALL], strict=True):
-            parts = -(-int(s) // CELL)
-            yield pa.RecordBatch.from_arrays([pa.array(key[at : at + s]), pa.array(np.arange(s) % parts), pa.array(fp[at : at + s]), pa.nulls(int(s), pa.int64())], names)
+        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+        n = pairs.shape[1]
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(np.full(n, -1)), pa.array(pairs[0]), pa.array(pairs[1])], names)
 
-    names = ["key", "part", "a", "b"]
-    return rows.repartition("key").mapInArrow(run, "key long, part long, a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fp, done = np.zeros(0, np.int64), np.zeros(0, np.int64), 0  # the bucket in work: sets held, and how many have left
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.concatenate((key, batch.column(0).to_numpy()))
+            fp = np.concatenate((fp, batch.column(1).to_numpy()))
+            first = np.concatenate(([True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])))
+            key, fp = key[first], fp[first]
+            yield from out(key, fp, done, last := int(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))[-1]))
+            done = 0 if last else done
+            key, fp = key[last:], fp[last:]
+            if done + len(key) > SMALL and len(key) > 1:  # a large bucket: all but one leave (the last may come again)
+                yield members(key[:-1], fp[:-1], done + np.arange(len(key) - 1))
+                done += len(key) - 1
+                key, fp = key[-1:], fp[-1:]
+        if len(key):
+            yield from out(key, fp, done, len(key))
+
+    def out(key: np.ndarray, fp: np.ndarray, done: int, stop: int) -> Iterator[pa.RecordBatch]:
+        """The buckets before `stop`; of the first one `done` sets have left."""
+        key, fp = key[:stop], fp[:stop]
+        if not stop:
+            return
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(start, stop))
+        before = np.where(np.arange(len(start)) == 0, done, 0)
+        large = size + before > SMALL
+        yield from small(fp, start[~large], size[~large])
+        at = np.flatnonzero(np.repeat(large, size))
+        if len(at):
+            yield members(key[at], fp[at], (np.arange(stop) - np.repeat(start, size) + np.repeat(before, size))[at])
+
+    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "key long, part long, a long, b long")
 
 
 def _bound(na: np.ndarray, nb: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -211,10 +256,10 @@ def _close(sk: list[np.ndarray], n: np.ndarray, left: np.ndarray, right: np.ndar
         at[use] = np.arange(len(use))
         x = np.stack([fold(sk[i], wide) for i in use])
         li, ri = li[at[li] >= 0], ri[at[ri] >= 0]
-        step = max(1, 4_000_000 // max(1, len(ri) * int(wide)))
+        step = max(1, 500_000 // max(1, len(ri)))
         for lo in range(0, len(li), step):
             part = li[lo : lo + step]
-            dist = np.zeros((len(part), len(ri)), dtype=np.int64)
+            dist = np.zeros((len(part), len(ri)), dtype=np.int32)
             for w in range(int(wide)):
                 dist += np.bitwise_count(x[at[part], w][:, None] ^ x[at[ri], w][None, :])
             na, nb = n[part][:, None], n[ri][None, :]
@@ -253,15 +298,15 @@ def _cell_pairs(members: DataFrame, num: int, den: int, forest: bool) -> DataFra
     pairs of different comp. Side 0 is compared with side 1, side 2 with itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _gather(batches)
-        if t is None:
-            return
+        for t in _whole_groups(batches, ["key", "i", "j"]):
+            yield from cells(t)
+
+    def cells(t: pa.Table) -> Iterator[pa.RecordBatch]:
         key, ci, cj, side, fp, n = (t.column(c).to_numpy() for c in ("key", "i", "j", "side", "a", "n"))
         offs, flat = _parts(t.column("sk"))
         flat = flat.view(np.uint64)
         comp = np.asarray(t.column("comp").combine_chunks().dictionary_encode().indices) if not forest else None
-        order = np.lexsort((fp, side, cj, ci, key))
-        new = (key[order][1:] != key[order][:-1]) | (ci[order][1:] != ci[order][:-1]) | (cj[order][1:] != cj[order][:-1])
+        new = (key[1:] != key[:-1]) | (ci[1:] != ci[:-1]) | (cj[1:] != cj[:-1])
         cuts = np.flatnonzero(np.concatenate(([True], new)))
         got_a, got_b, held = [], [], 0
 
@@ -271,8 +316,9 @@ def _cell_pairs(members: DataFrame, num: int, den: int, forest: bool) -> DataFra
             for lo in range(0, pairs.shape[1], 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0, lo : lo + 100_000]), pa.array(pairs[1, lo : lo + 100_000])], ["a", "b"])
 
-        for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
-            rows = order[lo:hi]
+        for lo, hi in zip(cuts, [*cuts[1:], len(key)], strict=True):
+            rows = np.arange(lo, hi)
+            rows = rows[np.lexsort((fp[rows], side[rows]))]
             here = np.arange(len(rows))
             left = here[side[rows] != 1]
             right = here[side[rows] == 1] if (side[rows] == 1).any() else left
@@ -287,7 +333,7 @@ def _cell_pairs(members: DataFrame, num: int, den: int, forest: bool) -> DataFra
         if got_a:
             yield from out()
 
-    return members.repartition("key", "i", "j").mapInArrow(run, "a long, b long")
+    return members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def _cells(members: DataFrame) -> DataFrame:
@@ -366,7 +412,7 @@ def _verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, num:
         for batch in batches:
             prints = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)
             a, b = T.texts_of(batch.column(4)), T.texts_of(batch.column(5))
-            for lo, hi in T.chunks(a, 1 << 22):
+            for lo, hi in T.chunks(a, PIECE):
                 ok = np.flatnonzero(_linked(a[lo:hi], b[lo:hi], prints[lo:hi], k, num, den)) + lo
                 yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(ok)) for i in range(4)], ["fp_a", "fp2_a", "fp_b", "fp2_b"])
 
