@@ -56,6 +56,10 @@ def refs_in(node: Any, names: set[str], refs: dict, found: dict) -> None:
             refs_in(v, names, refs, found)
 
 
+#: Slices up to this end are a top-k; others number the rows by range partitions.
+TOP = 100_000
+
+
 class Coll:
     """rows: a DataFrame. order: columns that define the list order (none: a set). key: the identity column of things.
 
@@ -136,22 +140,27 @@ class Coll:
     # -- items to items
     def filter(self, f: Any) -> Coll:
         f = self.fn(f)
-        if f.arity > 1 and not self.is_set:
-            here = self.numbered().opened(f)
-            out = here.made(here.rows.where(S.truthy(f.apply(here.item(), V(F.col("_o_pos"), LONG)))))
-            return self._closed(out)
+        if f.arity > 1:
+            here, second = self.with_second(f)
+            return self._closed(here.made(here.rows.where(S.truthy(f.apply(here.item(), second)))))
         here = self.opened(f)
         return self._closed(here.made(here.rows.where(S.truthy(self.value_of(f, here)))))
 
     def map(self, f: Any) -> Coll:
         f = self.fn(f)
-        here = (self.numbered() if f.arity > 1 else self).opened(f)
-        v = self.value_of(f, here, *([V(F.col("_o_pos"), LONG)] if f.arity > 1 else []))
+        here, *second = self.with_second(f) if f.arity > 1 else (self.opened(f),)
+        v = self.value_of(f, here, *second)
         hidden, order = here.hidden()
         if isinstance(v.t, T.StructType) and v.t not in (S.DATETIME, S.ERROR):
             return self.made(here.rows.select(*(v.c[x].alias(x) for x in v.t.names), *hidden), order=order, refs={}, key="#" if "#" in v.t.names else None, is_set=False)
         return self.made(here.rows.select(v.c.alias(VALUE), *hidden), order=order, refs={}, key=None, is_set=False)
 
+    def with_second(self, f: Closure) -> tuple[Coll, V]:
+        """Opened for a closure of two arguments, and the second one: the index in a list; in a set the id of the thing, or nil."""
+        if self.is_set or not self.order:
+            return self.opened(f), V(F.col(f"`{self.key}`").cast("long"), LONG) if self.key and self.key != "#" else lit(None)
+        return self.numbered().opened(f), V(F.col("_o_pos"), LONG)
+
     def numbered(self) -> Coll:
         if not self.order:
             raise OperationError("this collection has no order; sort it first")
@@ -189,10 +198,15 @@ class Coll:
             raise ValueError_("slice step cannot be zero")
         if not self.order:
             raise OperationError("this collection has no order; sort it first")
-        if step == 1 and (start or 0) >= 0 and (stop is None or stop >= 0):
+        if step == 1 and (start or 0) >= 0 and stop is None:
+            if not start:
+                return self
+            here = self.numbered()
+            return here.made(here.rows.where(F.col("_o_pos") >= start))
+        if step == 1 and (start or 0) >= 0 and stop is not None and 0 <= stop <= TOP:
             rows = self.rows.orderBy(*self.by())
             rows = rows.offset(start) if start else rows
-            return self.made(rows.limit(max(0, stop - (start or 0))) if stop is not None else rows)
+            return self.made(rows.limit(max(0, stop - (start or 0))))
         n = self.rows.count()
         at = range(*slice(start, stop, step).indices(n))
         here = self.numbered()
@@ -251,26 +265,48 @@ class Coll:
             return [self.key]
         return self.shown()
 
+    def _named_as(self, other: Coll) -> Coll:
+        """The other side with its identity named as here."""
+        if not self.key or not other.key or self.key == other.key:
+            return other
+        return other.made(other.df().drop(self.key).withColumnRenamed(other.key, self.key), order=[], key=self.key)
+
     def union(self, other: Coll) -> Coll:
-        return self.made(self.df().unionByName(other.df()).dropDuplicates(self._ident(other)), order=[], is_set=True)
+        other = self._named_as(other)
+        return self.made(self.df().unionByName(other.df(), allowMissingColumns=bool(self.key)).dropDuplicates(self._ident(other)), order=[], is_set=True)
 
     def intersect(self, other: Coll) -> Coll:
+        other = self._named_as(other)
         on = self._ident(other)
         return self.made(self.df().join(other.df().select(*on).distinct(), _null_safe(self, other, on), "left_semi") if len(on) > 1 else self.df().join(other.df().select(*on), on, "left_semi"), order=[], is_set=True)
 
     def difference(self, other: Coll) -> Coll:
+        other = self._named_as(other)
         on = self._ident(other)
         return self.made(self.df().exceptAll(other.df()) if len(on) > 1 else self.df().join(other.df().select(*on), on, "left_anti"), order=[], is_set=True)
 
     def symmetric(self, other: Coll) -> Coll:
+        other = self._named_as(other)
         a, b = self.difference(other), other.difference(self)
-        return self.made(a.df().unionByName(b.df()), order=[], is_set=True)
+        return self.made(a.df().unionByName(b.df(), allowMissingColumns=bool(self.key)), order=[], is_set=True)
 
     def subset_of(self, other: Coll, proper: bool = False) -> bool:
         if self.difference(other).rows.limit(1).count():
             return False
         return not proper or bool(other.difference(self).rows.limit(1).count())
 
+    def equals(self, other: Any) -> bool:
+        """Equal items as often; in lists at equal places, too."""
+        if not isinstance(other, Coll) or sorted(self.shown()) != sorted(other.shown()):
+            return False
+        a, b = (x.numbered() if self.order and other.order else x for x in (self, other))
+        names = [*self.shown(), *(["_o_pos"] if self.order and other.order else [])]
+        a, b = (x.rows.select(*(F.col(f"`{c}`") for c in names)) for x in (a, b))
+        return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+    def clear(self) -> Coll:
+        return self.made(self.rows.limit(0))
+
     def extend(self, other: Coll) -> Coll:
         """Other's items behind these."""
         a, b = (x.numbered().rows.select(*(f"`{c}`" for c in x.shown()), F.lit(i).alias("_o_side"), F.col("_o_pos").alias("_o_row")) for i, x in enumerate((self, other)))
@@ -327,7 +363,7 @@ class Coll:
         return self._agg(F.count(F.lit(1)))
 
     def agg_count(self, f: Any) -> DataFrame:
-        if isinstance(f, (str, Closure)) and (isinstance(f, Closure) or f.lstrip().startswith("|")):
+        if isinstance(f, Closure):
             here, v = self._body(f)
             return here._agg(F.count_if(S.truthy(v)))
         return self._agg(F.count_if(S.eq(self.item(), lit(f))))
@@ -404,8 +440,10 @@ class Coll:
         if _mentions(b.right, f.names[0]) or len(f.names) > 2:
             return None
         here = self.opened(one)
-        v = S.number(self.value_of(one, here), b.op)
-        start = lit(init)
+        v, start = self.value_of(one, here), lit(init)
+        if not {v.kind, start.kind} <= {"int", "float", "bool"}:
+            return None  # strings and lists are added in order
+        v = S.number(v, b.op)
         agg = {"+": F.sum, "&": F.bit_and, "|": F.bit_or, "^": F.bit_xor, "*": F.product}[b.op](v.c)
         if b.op == "*" and (v.kind == "int" or start.kind == "int"):
             return None

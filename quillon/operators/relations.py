@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,15 +34,16 @@ def search(edges: DataFrame, start: int, needle: int, deep: int = 1, limit: int
     if not 0 <= deep <= 127 or not 0 <= limit <= 255:
         raise ValueError_("deep must be 0 to 127, limit 0 to 255")
     spark = edges.sparkSession
-    edges.createOrReplaceTempView("_quillon_edges")
+    view = f"_quillon_edges_{uuid.uuid4().hex}"  # a name of its own: an earlier result may still read its edges
+    edges.createOrReplaceTempView(view)
     return spark.sql(
         f"""
         WITH RECURSIVE reach (id, d) AS (
           SELECT CAST({int(start)} AS BIGINT), 0
           UNION ALL
-          SELECT DISTINCT e.child, r.d + 1 FROM reach r JOIN _quillon_edges e ON e.parent = r.id WHERE r.d < {int(deep)}
+          SELECT DISTINCT e.child, r.d + 1 FROM reach r JOIN {view} e ON e.parent = r.id WHERE r.d < {int(deep)}
         ), near AS (SELECT id, min(d) AS d FROM reach GROUP BY id)
-        SELECT e.parent, e.key, n.d AS depth FROM near n JOIN _quillon_edges e ON e.parent = n.id
+        SELECT e.parent, e.key, n.d AS depth FROM near n JOIN {view} e ON e.parent = n.id
         WHERE e.child = {int(needle)} ORDER BY n.d, e.parent, e.key LIMIT {int(limit)}
         """
     )

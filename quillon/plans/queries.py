@@ -129,7 +129,7 @@ def _words(t: Tables) -> DataFrame:
 
 # -- aggregates, order, lists --------------------------------------------------------------------------------------------
 add("op_count", "SELECT count(*) AS value FROM events WHERE event_type = 'click'", lambda t: t.events.map("|e| e.event_type").agg_count("click"))
-add("op_count_closure", "SELECT count(*) AS value FROM lineitem WHERE l_discount > 0.05 AND l_returnflag = 'R'", lambda t: t.lineitem.agg_count("|l| l.l_discount > 0.05 && l.l_returnflag == 'R'"))
+add("op_count_closure", "SELECT count(*) AS value FROM lineitem WHERE l_discount > 0.05 AND l_returnflag = 'R'", lambda t: t.lineitem.agg_count(t.lineitem.fn("|l| l.l_discount > 0.05 && l.l_returnflag == 'R'")))
 add("op_sum_int", "SELECT sum(p_size)::BIGINT AS value FROM part", lambda t: t.part.agg_sum("|p| p.p_size"))
 add("op_min_max", "SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders", lambda t: t.orders.agg_min("|o| o.o_totalprice").withColumnRenamed("value", "lo").crossJoin(t.orders.agg_max("|o| o.o_totalprice").withColumnRenamed("value", "hi")))
 mapped("op_cell_aggregates", "embeddings", "|e| {id: e.vec_id, lo: e.embedding.min(), hi: e.embedding.max(), s: round(e.embedding.sum(), 4), u: e.embedding.is_unique()}", "SELECT vec_id AS id, list_min(embedding) AS lo, list_max(embedding) AS hi, round(list_reduce(list_prepend(0.0::DOUBLE, embedding::DOUBLE[]), lambda a, x: a + x), 4) AS s, len(list_distinct(embedding)) = len(embedding) AS u FROM embeddings")
@@ -156,13 +156,13 @@ _A, _B = "|o| o.o_totalprice > 150000", "|o| o.o_orderstatus == 'F'"
 for _name, _op, _sql in (("union", "union", "a OR b"), ("intersect", "intersect", "a AND b"), ("difference", "difference", "a AND NOT b"), ("symdiff", "symmetric", "a <> b")):
     add(f"op_set_{_name}", f"SELECT o_orderkey AS id FROM (SELECT *, o_totalprice > 150000 AS a, o_orderstatus = 'F' AS b FROM orders) WHERE {_sql}", lambda t, op=_op: getattr(t.orders.filter(_A), op)(t.orders.filter(_B)).map("|o| {id: o.o_orderkey}"))
 mapped("op_set_cell", "part", "|p| {id: p.p_partkey, a: (set([1, 2, p.p_size]) | set([p.p_size, 7])).len(), b: (set([1, p.p_size]) & set([p.p_size])).len(), c: (set([1, 2]) - set([p.p_size])).len(), d: (set([1, 2]) ^ set([2, p.p_size])).len(), s: set([p.p_size]) < set([p.p_size, 77])}", "SELECT p_partkey AS id, len(list_distinct([1, 2, 7, p_size]))::BIGINT AS a, 1::BIGINT AS b, (2 - (p_size IN (1, 2))::INT)::BIGINT AS c, (CASE p_size WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END)::BIGINT AS d, true AS s FROM part")
-add("op_subset", "SELECT NOT EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 200000 AND NOT o_totalprice > 100000) AS value", lambda t: t.orders.filter("|o| o.o_totalprice > 200000").difference(t.orders.filter("|o| o.o_totalprice > 100000")).rows.agg((F.count(F.lit(1)) == 0).alias("value")))
+add("op_subset", "SELECT n_nationkey::BIGINT AS id, true AS a, false AS b, true AS c FROM nation", lambda t: _engine(t, "x = orders.filter(|o| o.o_totalprice > 200000); y = orders.filter(|o| o.o_totalprice > 100000); a = x <= y; b = y < x; c = y >= x; nation.map(|n| {id: n.n_nationkey, a: a, b: b, c: c})"))
 mapped("op_deref", "orders", "|o| {id: o.o_orderkey, who: o.customer.c_name, where: o.customer.nation.n_name, region: o.customer.nation.region.r_name}", 'SELECT o_orderkey AS id, c_name AS who, n_name AS "where", r_name AS region FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey')
 add("op_deref_sum", "SELECT round(sum(l_extendedprice * (1 - l_discount)), 2) AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'", lambda t: t.lineitem.filter("|l| l.supplier.nation.region.r_name == 'ASIA'").agg_sum("|l| l.l_extendedprice * (1 - l.l_discount)").select(F.round("value", 2).alias("value")))
-add("op_has_semi", "SELECT c_custkey AS id FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)", lambda t: t.customer.df().join(t.orders.filter("|o| o.o_totalprice > 300000").df(), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select(F.col("c_custkey").alias("id")))
-add("op_has_anti", "SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", lambda t: t.customer.df().join(t.orders.df(), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.col("c_custkey").alias("id")))
+add("op_has_semi", "SELECT c_custkey AS id FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)", lambda t: t.customer.intersect(_buyers(t)).map("|c| {id: c.c_custkey}"))
+add("op_has_anti", "SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)", lambda t: t.customer.difference(_buyers(t)).map("|c| {id: c.c_custkey}"))
 add("op_relation_inverse", 'SELECT o_custkey, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders GROUP BY 1', lambda t: relations.inverse_counts(t.orders, "o_custkey"))
-add("op_relation_broken", "SELECT l_orderkey AS id FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)", lambda t: relations.broken(t.lineitem, "l_partkey", t.part).select(F.col("l_orderkey").alias("id")))
+add("op_relation_broken", "SELECT l_orderkey AS id FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)", lambda t: relations.broken(t.lineitem, "l_partkey", t.part.filter("|p| p.p_size > 10")).select(F.col("l_orderkey").alias("id")))
 add(
     "op_search_graph",
     "SELECT DISTINCT c_nationkey::BIGINT AS parent, 'region' AS key, 1 AS depth FROM (SELECT c_nationkey FROM customer WHERE c_custkey = 1) JOIN nation ON c_nationkey = n_nationkey",
@@ -213,8 +213,8 @@ mapped("op_dt_parse", "orders", "|o| {id: o.o_orderkey, a: int(datetime(o.o_orde
 mapped("op_json_dump", "nation", "|n| {id: n.n_nationkey, j: json_dump({k: n.n_nationkey, n: n.n_name, l: [1, 2]})}", "SELECT n_nationkey::BIGINT AS id, '{\"k\":' || n_nationkey || ',\"n\":\"' || n_name || '\",\"l\":[1,2]}' AS j FROM nation")
 mapped("op_json_load", "events", "|e| {id: e.event_id, k: int(json_load(e.props).k)}", "SELECT event_id AS id, coalesce(json_extract_string(props, '$.k')::BIGINT, 0) AS k FROM events")
 add("op_wrap_view", 'SELECT o_orderkey, o_totalprice FROM orders', lambda t: t.orders.wrap({"o_orderkey": "int", "o_totalprice": "float", "missing": "str"}))
-add("op_type_count", "SELECT count(*) AS value FROM customer", lambda t: t.customer.agg_len())
-add("op_type_all", "SELECT s_suppkey AS id FROM supplier", lambda t: t.supplier.map("|s| {id: s.s_suppkey}"))
+add("op_type_count", "SELECT c_custkey AS id, (SELECT count(*) FROM customer)::BIGINT AS n FROM customer WHERE c_custkey <= 5", lambda t: _engine(t, "n = type_count('Buyer'); customer.filter(|c| c.c_custkey <= 5).map(|c| {id: c.c_custkey, n: n})"))
+add("op_type_all", "SELECT c_custkey AS id, c_name AS name, 'new' AS state FROM customer", lambda t: _engine(t, "type_all('Buyer').map(|c| {id: c.c_custkey, name: c.c_name, state: c.state})"))
 add("op_type_check", "SELECT c_custkey, c_name, 'none' AS note, 1::BIGINT AS n FROM customer", lambda t: _typed(t))
 add("op_enum_map", "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'part' END AS state FROM orders", lambda t: _with(t, enums={"State": {"F": "done", "O": "open", "P": "part"}}).orders.map("|o| {id: o.o_orderkey, state: o.o_orderstatus == 'F' ? State{F} : o.o_orderstatus == 'O' ? State{O} : State{P}}"))
 add("op_procedure", "SELECT l_orderkey AS k, l_partkey AS p, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem", lambda t: _with(t, procedures={"net": "|p, d| round(p * (1 - d), 4)"}).lineitem.map("|l| {k: l.l_orderkey, p: l.l_partkey, net: run('net', l.l_extendedprice, l.l_discount)}"))
@@ -226,6 +226,19 @@ add("op_room_sessions", "SELECT min(ts) AS start, user_id, count(*) AS n FROM (S
 
 # -- whole query texts through the engine
 ENGINE_TEXT = {
+    "op_slice_tail": ("orders[20:].filter(|o| o.o_totalprice > 100000).map(|o| {id: o.o_orderkey})", "SELECT o_orderkey AS id FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders) WHERE r > 20 AND o_totalprice > 100000"),
+    "op_set_closure_id": ("a = orders.filter(|o| o.o_orderstatus == 'F') | orders.filter(|o| o.o_totalprice > 200000); a.filter(|o, id| id % 3 == 0).map(|o, id| {id: id, price: o.o_totalprice})", "SELECT o_orderkey AS id, o_totalprice AS price FROM orders WHERE (o_orderstatus = 'F' OR o_totalprice > 200000) AND o_orderkey % 3 = 0"),
+    "op_reduce_strings": ("t = nation.filter(|n| n.n_nationkey < 8).map(|n| n.n_name).reduce(|a, x| a + x, ''); nation.map(|n| {id: n.n_nationkey, t: t})", "SELECT n_nationkey::BIGINT AS id, (SELECT string_agg(n_name, '' ORDER BY n_nationkey) FROM nation WHERE n_nationkey < 8) AS t FROM nation"),
+    "op_engine_equals": ("x = orders.filter(|o| o.o_totalprice > 200000); a = x.equals(orders.filter(|o| !(o.o_totalprice <= 200000))); b = x.equals(orders); c = x.is_unique(); d = x.len(); nation.map(|n| {id: n.n_nationkey, a: a, b: b, c: c, d: d})", "SELECT n_nationkey::BIGINT AS id, true AS a, false AS b, true AS c, (SELECT count(*) FROM orders WHERE o_totalprice > 200000)::BIGINT AS d FROM nation"),
+    "op_engine_try": ("e = try(raise(type_err('bad'))); a = is_err(e); b = e.code(); c = try(1 / 0).code(); d = try(assert(1 > 2)).code(); f = try(raise(value_err('no'))).msg(); g = try([1, 2][5]).code(); nation.map(|n| {id: n.n_nationkey, a: a, b: b, c: c, d: d, f: f, g: g})", "SELECT n_nationkey::BIGINT AS id, true AS a, (-61)::BIGINT AS b, (-58)::BIGINT AS c, (-50)::BIGINT AS d, 'no' AS f, (-54)::BIGINT AS g FROM nation"),
+    "op_engine_enum": ("set_enum('Mode', {low: 1, high: 2}); a = Mode{low}.value(); b = Mode(2).name(); c = has_enum('Mode'); d = enum_map('Mode').len(); mod_enum('Mode', 'add', 'mid', 3); e = enum_map('Mode').len(); rename_enum('Mode', 'Level'); f = has_enum('Mode'); g = is_enum(Level{mid}); del_enum('Level'); h = has_enum('Level'); nation.map(|n| {id: n.n_nationkey, a: a, b: b, c: c, d: d, e: e, f: f, g: g, h: h})", "SELECT n_nationkey::BIGINT AS id, 1::BIGINT AS a, 'high' AS b, true AS c, 2::BIGINT AS d, 3::BIGINT AS e, false AS f, true AS g, false AS h FROM nation"),
+    "op_engine_types": ("set_type('Pet', {name: 'str', age: 'uint'}); p = Pet{name: 'Rex', age: 4}; a = p.name; b = type(p); c = has_type('Pet'); mod_type('Pet', 'add', 'kind', 'str<0:9:dog>'); q = Pet{name: 'Al', age: 2}; d = q.kind; mod_type('Pet', 'ren', 'kind', 'sort'); e = Pet{name: 'Cy', age: 3}.sort; mod_type('Pet', 'del', 'sort'); f = Pet{name: 'Di', age: 5}.has('sort'); g = new('Pet', {name: 'Bo', age: 1}).age; rename_type('Pet', 'Animal'); h = has_type('Pet'); i = is_thing(p); nation.map(|n| {id: n.n_nationkey, a: a, b: b, c: c, d: d, e: e, f: f, g: g, h: h, i: i})", "SELECT n_nationkey::BIGINT AS id, 'Rex' AS a, 'Pet' AS b, true AS c, 'dog' AS d, 'dog' AS e, false AS f, 1::BIGINT AS g, false AS h, true AS i FROM nation"),
+    "op_engine_things": ("o = {x: 1, y: 2}; o.set('z', 3); a = o.len(); b = o.ren('x', 'w'); c = o.has('x'); o.del('y'); d = o.keys().len(); o.assign({y: 9, z: 8}); e = o.z; f = o.get('none', 7); g = o.values().sum(); s = set(o); s.add({k: 1}); h = s.len(); nation.map(|n| {id: n.n_nationkey, a: a, c: c, d: d, e: e, f: f, g: g, h: h})", "SELECT n_nationkey::BIGINT AS id, 3::BIGINT AS a, false AS c, 2::BIGINT AS d, 8::BIGINT AS e, 7::BIGINT AS f, 18::BIGINT AS g, 2::BIGINT AS h FROM nation"),
+    "op_engine_lists": ("l = [3, 1, 2]; l.push(5); a = l.pop(); l.unshift(0); b = l.shift(); l[1] = 7; c = l.sum(); l[0:1] = [4, 4]; d = l.len(); l.extend([9]); l.remove(|x| x == 4); e = l.len(); f = 0; for (x, i in l) { if (x == 9) break; f += x * (i + 1); }; g = l.first(); l.clear(); h = l.len(); nation.map(|n| {id: n.n_nationkey, a: a, b: b, c: c, d: d, e: e, f: f, g: g, h: h})", "SELECT n_nationkey::BIGINT AS id, 5::BIGINT AS a, 0::BIGINT AS b, 12::BIGINT AS c, 4::BIGINT AS d, 3::BIGINT AS e, (7 * 1 + 2 * 2)::BIGINT AS f, 7::BIGINT AS g, 0::BIGINT AS h FROM nation"),
+    "op_engine_procedures": ("new_procedure('twice', |x| x * 2); a = run('twice', 21); b = has_procedure('twice'); mod_procedure('twice', |x| x * 3); c = run('twice', 21); rename_procedure('twice', 'thrice'); d = has_procedure('twice'); e = procedure_info('thrice').arguments.len(); f = procedures_info().len(); del_procedure('thrice'); g = has_procedure('thrice'); h = is_closure(|x| x); i = |a, b| a - b; j = i.call(7, 2); nation.map(|n| {id: n.n_nationkey, a: a, b: b, c: c, d: d, e: e, g: g, h: h, j: j})", "SELECT n_nationkey::BIGINT AS id, 42::BIGINT AS a, true AS b, 63::BIGINT AS c, false AS d, 1::BIGINT AS e, false AS g, true AS h, 5::BIGINT AS j FROM nation"),
+    "op_engine_tasks": ("t = task(datetime().move('days', 5), |t, x| x, [4]); a = is_task(t); b = t.args().len(); t.set_args([5, 6]); c = t.args()[0]; d = tasks().len(); e = is_datetime(t.at()); t.cancel(); t.del(); f = tasks().len(); r = room(); g = is_room(r); nation.map(|n| {id: n.n_nationkey, a: a, b: b, d: d, e: e, f: f, g: g})", "SELECT n_nationkey::BIGINT AS id, true AS a, 1::BIGINT AS b, 1::BIGINT AS d, true AS e, 0::BIGINT AS f, true AS g FROM nation"),
+    "op_engine_kinds": ("a = is_nil(nil); b = is_regex(/x/); c = is_tuple([[1]][0]); d = is_future(future(nil)); e = is_timeval(timeval()); f = is_time_zone('Europe/Amsterdam'); g = is_module(1); h = is_mpdata(1); i = type_assert(1, 'int'); j = deep(); k = is_err(zero_div_err()); nation.map(|n| {id: n.n_nationkey, a: a, b: b, c: c, e: e, f: f, g: g, h: h, k: k})", "SELECT n_nationkey::BIGINT AS id, true AS a, true AS b, true AS c, true AS e, true AS f, false AS g, false AS h, true AS k FROM nation"),
+    "op_engine_error_codes": ("c64 = cancelled_err('x').code(); c63 = operation_err('x').code(); c62 = num_arguments_err('x').code(); c61 = type_err('x').code(); c60 = value_err('x').code(); c59 = overflow_err('x').code(); c58 = zero_div_err('x').code(); c57 = max_quota_err('x').code(); c56 = auth_err('x').code(); c55 = forbidden_err('x').code(); c54 = lookup_err('x').code(); c53 = bad_data_err('x').code(); c52 = syntax_err('x').code(); c51 = node_err('x').code(); c50 = assert_err('x').code(); nation.map(|n| {id: n.n_nationkey, c64: c64, c63: c63, c62: c62, c61: c61, c60: c60, c59: c59, c58: c58, c57: c57, c56: c56, c55: c55, c54: c54, c53: c53, c52: c52, c51: c51, c50: c50})", "SELECT n_nationkey::BIGINT AS id, (-64)::BIGINT AS c64, (-63)::BIGINT AS c63, (-62)::BIGINT AS c62, (-61)::BIGINT AS c61, (-60)::BIGINT AS c60, (-59)::BIGINT AS c59, (-58)::BIGINT AS c58, (-57)::BIGINT AS c57, (-56)::BIGINT AS c56, (-55)::BIGINT AS c55, (-54)::BIGINT AS c54, (-53)::BIGINT AS c53, (-52)::BIGINT AS c52, (-51)::BIGINT AS c51, (-50)::BIGINT AS c50 FROM nation"),
     "op_engine_chain": ("orders.filter(|o| o.o_orderstatus == 'F' && o.customer.c_acctbal > least).map(|o| {id: o.o_orderkey, price: o.o_totalprice}).sort(|r| r.price, true)[:50]", "SELECT * FROM (SELECT o_orderkey AS id, o_totalprice AS price FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND c_acctbal > 500 ORDER BY o_totalprice DESC, o_orderkey LIMIT 50)"),
     "op_engine_procedure": ("new_procedure('rich', |cs, x| cs.filter(|c| c.c_acctbal > x)); run('rich', customer, least).map(|c| {id: c.c_custkey, n: c.nation.n_name})", "SELECT c_custkey AS id, n_name AS n FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 500"),
     "op_engine_sets": ("a = orders.filter(|o| o.o_totalprice > 200000); b = orders.filter(|o| o.o_orderstatus == 'O'); ((a | b) - (a & b)).map(|o| {id: o.o_orderkey})", "SELECT o_orderkey AS id FROM orders WHERE (o_totalprice > 200000) <> (o_orderstatus = 'O')"),
@@ -240,15 +253,23 @@ def _engine(t: Tables, text: str) -> Coll:
     engine = Engine()
     for name in ("orders", "customer", "nation", "lineitem", "part", "supplier", "events"):
         engine.bind("stuff", name, getattr(t, name))
+    engine.query("set_type('Buyer', {c_custkey: 'int', c_name: 'str', state: 'str<1:9:new>'})")
+    engine.bind_type("stuff", "Buyer", t.customer.made(t.customer.rows.withColumn("#", F.col("c_custkey"))))
     return engine.query(text, least=500)
 
 
 for _name, (_text, _sql) in ENGINE_TEXT.items():
     add(_name, _sql, lambda t, x=_text: _engine(t, x))
-# Chance and the clock: rows only.
-add("op_random", None, lambda t: t.part.map("|p| {id: p.p_partkey, r: rand(), i: randint(1, 7), s: randstr(4)}"))
-add("op_now", None, lambda t: t.region.map("|r| {id: r.r_regionkey, later: now() > 0, today: datetime().extract('year') > 2000}"))
-add("op_choice", None, lambda t: t.part.made(t.part.rows.orderBy(F.rand()).limit(1), order=[]).map("|p| {id: p.p_partkey}"))
+# Chance and the clock: their properties.
+add("op_random", "SELECT p_partkey AS id, true AS r, true AS i, 4::BIGINT AS s FROM part", lambda t: t.part.map("|p| { r = rand(); i = randint(1, 7); {id: p.p_partkey, r: r >= 0.0 && r < 1.0, i: i >= 1 && i < 7, s: randstr(4).len()} }"))
+add("op_now", "SELECT r_regionkey::BIGINT AS id, true AS later, true AS today FROM region", lambda t: t.region.map("|r| {id: r.r_regionkey, later: now() > 0, today: datetime().extract('year') > 2000}"))
+add("op_choice", "SELECT n_nationkey::BIGINT AS id, true AS found FROM nation", lambda t: _engine(t, "p = part.map(|p| p.p_size).choice(); found = part.some(|q| q.p_size == p); nation.map(|n| {id: n.n_nationkey, found: found})"))
+
+
+def _buyers(t: Tables) -> Coll:
+    """Customers that dear orders point at, as a set of things under the orders' name of their key."""
+    dear = t.orders.filter("|o| o.o_totalprice > 300000").df().select("o_custkey").distinct()
+    return Coll(dear, key="o_custkey", is_set=True)
 
 
 def _with(t: Tables, **known) -> Tables:

@@ -414,13 +414,23 @@ class Interp:
             return gone
         if name == "find" and len(args) > 1 and isinstance(args[1], Closure):
             args[1] = None
-        f = getattr(t, name, None)
-        if f is None or name.startswith("_"):
+        if name == "clear":
+            t.rows = t.clear().rows
+            return None
+        f = getattr(t, name, None) if name in TABLE_FUNCTIONS else None
+        if f is None:
             raise LookupError_(f"type `table` has no function `{name}`")
         out = f(*args)
         return out if isinstance(out, Coll) else X.from_python(out)
 
 
+#: Functions of the language that tables have; other attributes of a collection are no functions of the language.
+TABLE_FUNCTIONS = frozenset(
+    "filter map vmap each reduce find find_index index_of some every has contains get len flat copy dup map_id first last one choice equals "
+    "count sum min max unique is_unique sort reverse splice extend extend_unique fill remove join list".split()
+)
+
+
 class Frame(dict):
     """Variables of a call: parameters are its own, others are those of the place where the closure stands."""
 

@@ -63,7 +63,7 @@ def test_rows(people):
     assert people.find_index("|p| p.age < 6") == 2 and people.find_index("|p| p.age > 99") is None
     assert people.first()["id"] == 1 and people.last()["id"] == 4
     assert people.some("|p| p.age > 30") and not people.every("|p| p.age > 30")
-    assert people.sum("|p| p.age") == 73 and people.count("|p| p.age == 31") == 2 and people.len() == 4
+    assert people.sum("|p| p.age") == 73 and people.count(people.fn("|p| p.age == 31")) == 2 and people.len() == 4
     assert people.reduce("|a, p| a + p.age", 1) == 74
     assert people.map("|p| p.age").reduce("|a, x| a * 2 + x", 0) == ((6 * 2 + 31) * 2 + 5) * 2 + 31
     assert people.map("|p| p.name").join("+") == "Iris+Anne+cato+Anne"
