@@ -14,21 +14,21 @@ def engine():
 
 VALUES = [
     # precedence and operators
-    ("2 || 5 - 1", 2),
-    ("(2 || 5) - 1", 1),
-    ("2 - 2 && 1", 0),
-    ("2 - (2 && 1)", 1),
-    ("5 - 0 ? 1 : 2;", 1),
-    ("2 + 3 * 4 + 1", 15),
-    ("2 * 3 + 4 * 2", 14),
-    ("0 == 2 & 1", True),
-    ("81 / 9 / 3", 3),
-    ("20 - 5 - 3 - 1", 11),
-    ("(false) ? 'a' : (false) ? 'b' : 'c'", "c"),
-    ("1 || 0 && 0", 1),
+    ("4 || 9 - 4", 4),
+    ("(4 || 9) - 3", 1),
+    ("7 - 7 && 3", 0),
+    ("7 - (7 && 3)", 4),
+    ("8 - 8 ? 31 : 47;", 47),
+    ("6 + 5 * 7 + 8", 49),
+    ("9 * 2 + 7 * 5", 53),
+    ("0 == 8 & 4", True),
+    ("120 / 6 / 4", 5),
+    ("50 - 8 - 13 - 2", 27),
+    ("nil ? 'p' : 0 ? 'q' : 'r'", "r"),
+    ("6 || nil && nil", 6),
     ("!!false", False),
-    ("~15", -16),
-    ("~-15", 14),
+    ("~41", -42),
+    ("~-42", 41),
     ("-7 / 2", -3),
     ("-7 % 2", -1),
     ("7.0 / 2", 3.5),
@@ -40,17 +40,17 @@ VALUES = [
     ("1 == '1'", False),
     ("[1, 2] == [1.0, 2]", True),
     # slices and indexes
-    ("'abcdef'[1:-1]", "bcde"),
-    ("'abcdef'[::-2]", "fdb"),
-    ("[1, 2, 3, 4, 5, 6][1:5:2]", [2, 4]),
-    ("[1, 2, 3, 4, 5, 6][-2:]", [5, 6]),
+    ("'quillon'[2:-2]", "ill"),
+    ("'quillon'[::-3]", "nlq"),
+    ("[11, 22, 33, 44, 55, 66, 77][2:7:2]", [33, 55, 77]),
+    ("[11, 22, 33, 44][-3:]", [22, 33, 44]),
     ("[1, 2, 3][-1]", 3),
     ("a = [1, 2, 3]; a[1] = 9; a", [1, 9, 3]),
     ("a = [1, 2, 3]; a[0:2] = [7]; a", [7, 3]),
     # collections
-    ("[2, 0, 1, 3].sort()", [0, 1, 2, 3]),
-    ("['Iris', 'Anne', 'cato'].sort(|x| x.lower())", ["Anne", "cato", "Iris"]),
-    ("[42, 2013, 6].sort(|a, b| b - a)", [2013, 42, 6]),
+    ("[8, -3, 5, 0].sort()", [-3, 0, 5, 8]),
+    ("['oak', 'Elm', 'Yew', 'ash'].sort(|x| x.lower())", ["ash", "Elm", "oak", "Yew"]),
+    ("[15, 7, 310].sort(|a, b| b - a)", [310, 15, 7]),
     ("[3, 1, 2].sort(true)", [3, 2, 1]),
     ("range(10).filter(|x| x % 3 == 0)", [0, 3, 6, 9]),
     ("[1, 2, 3].map(|x, i| x * i)", [0, 2, 6]),
