@@ -10,7 +10,7 @@ insult beside the mention of a group, that separate weights miss.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -121,6 +121,20 @@ def paired(docs: list[np.ndarray], toxic: np.ndarray, among: np.ndarray) -> np.n
     return among[z.max(1, initial=0) > PAIR_Z]
 
 
+def segment_sums(sizes: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """The sums of consecutive runs of an array, of these sizes (0 for an empty run)."""
+    some = np.flatnonzero(sizes)
+    starts = (np.cumsum(sizes) - sizes)[some]
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(sizes))
+        if len(some):
+            out[some] = np.add.reduceat(x, starts)
+        return out
+
+    return sums
+
+
 def fit(docs: list[np.ndarray], toxic: np.ndarray, buckets: np.ndarray | None = None, rounds: int = 200, rate: float = 0.05, decay: float = 2e-4) -> Model:
     """Adam on the class-balanced logistic loss, full batches."""
     buckets = (select(docs, toxic) if buckets is None else buckets).astype(np.int64)
@@ -133,20 +147,22 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, buckets: np.ndarray | None =
     if not len(docs) or not len(buckets) or not toxic.any() or toxic.all():
         return Model(buckets[:0], -3.0, np.zeros(0), np.zeros((0, FACTORS)))
     flat, row = np.concatenate(held), np.repeat(np.arange(len(docs)), sizes)
+    by_slot = np.argsort(flat, kind="stable")
+    per_doc = segment_sums(sizes)
+    per_slot = segment_sums(np.bincount(flat, minlength=len(buckets)))
+    row_by_slot = row[by_slot]
     scale = pair_scale(sizes)
     weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
     m = [np.zeros_like(p) for p in par]
     s = [np.zeros_like(p) for p in par]
-    per_doc = lambda x: np.bincount(row, weights=x, minlength=len(docs))
     for t in range(1, rounds + 1):
         w0, w, v = par
-        vx = v[flat]
-        total = np.stack([per_doc(vx[:, f]) for f in range(FACTORS)], axis=1)
-        y = w0[0] + per_doc(w[flat]) + 0.5 * scale * ((total**2).sum(1) - per_doc((vx**2).sum(1)))
+        total = np.stack([per_doc(x[flat]) for x in np.ascontiguousarray(v.T)], axis=1)
+        y = w0[0] + per_doc(w[flat]) + 0.5 * scale * ((total**2).sum(1) - per_doc((v**2).sum(1)[flat]))
         g = weight * (1 / (1 + np.exp(-np.clip(y, -30, 30))) - toxic)
-        gx = g[row]
-        inner = (total[row] - vx) * (gx * scale[row])[:, None]
-        grads = [np.array([g.sum()]), np.bincount(flat, weights=gx, minlength=len(buckets)) + decay * w, np.stack([np.bincount(flat, weights=inner[:, f], minlength=len(buckets)) for f in range(FACTORS)], axis=1) + decay * v]
+        c = g * scale
+        mixed = np.stack([per_slot(x[row_by_slot]) for x in np.ascontiguousarray((total * c[:, None]).T)], axis=1)
+        grads = [np.array([g.sum()]), per_slot(g[row_by_slot]) + decay * w, mixed - v * per_slot(c[row_by_slot])[:, None] + decay * v]
         for i, gr in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * gr
             s[i] = 0.999 * s[i] + 0.001 * gr**2
