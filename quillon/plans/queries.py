@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from quillon.lang.compile import Compiler
 from quillon.operators import relations
 from quillon.operators.collection import Coll
 from quillon.runtime.types import Types
+from quillon.sources import tables
 from quillon.streaming import rooms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,7 +222,7 @@ add("op_enum_map", "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'd
 add("op_procedure", "SELECT l_orderkey AS k, l_partkey AS p, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem", lambda t: _with(t, procedures={"net": "|p, d| round(p * (1 - d), 4)"}).lineitem.map("|l| {k: l.l_orderkey, p: l.l_partkey, net: run('net', l.l_extendedprice, l.l_discount)}"))
 add("op_closure_call", "SELECT p_partkey AS id, p_size::BIGINT * 2 + 1 AS v FROM part", lambda t: t.part.map("|p| { f = |x| x * 2 + 1; {id: p.p_partkey, v: f.call(p.p_size)} }"))
 add("op_errors", "SELECT p_partkey AS id, -60::BIGINT AS code, 'bad' AS msg FROM part", lambda t: t.part.map("|p| {id: p.p_partkey, code: value_err('bad').code(), msg: err(-110, 'bad').msg()}"))
-add("op_room_events", "SELECT event_id AS id, value FROM events WHERE event_type = 'purchase' AND value > 50", lambda t: t.events.filter("|e| e.event_type == 'purchase' && e.value > 50").map("|e| {id: e.event_id, value: e.value}"))
+add("op_room_events", "SELECT event_id AS id, value FROM events WHERE event_type = 'purchase' AND value > 50", lambda t: _bought(t))
 add("op_room_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL", lambda t: rooms.windowed(t.df("events"), every="1 hour", keys=("event_type",)))
 add("op_room_sessions", "SELECT min(ts) AS start, user_id, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT ts, user_id, (coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE, true))::INT AS new FROM events)) GROUP BY user_id, s", lambda t: rooms.sessions(t.df("events"), keys=("user_id",)).select("start", "user_id", "n"))
 
@@ -272,6 +274,15 @@ def _buyers(t: Tables) -> Coll:
     return Coll(dear, key="o_custkey", is_set=True)
 
 
+def _bought(t: Tables) -> DataFrame:
+    """Events emitted in two rooms, one of which is replayed."""
+    path = f"{tables.shared_dir(t.spark)}/rooms-{uuid.uuid4().hex}"
+    for room, closure in (("shop", "|e| e.event_type == 'purchase' && e.value > 50"), ("other", "|e| e.event_type == 'click'")):
+        rooms.emit(t.events.filter(closure).df(), path, room, "seen", "event_id", "value")
+    args = F.from_json("args", "event_id long, value double")
+    return rooms.replay(t.spark, path, "shop").select(args.alias("a")).select(F.col("a.event_id").alias("id"), F.col("a.value").alias("value"))
+
+
 def _with(t: Tables, **known) -> Tables:
     return Tables(t.spark, t.dir, Compiler(**known))
 
