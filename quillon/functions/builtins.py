@@ -543,7 +543,9 @@ def _(q, v, *a):
     hits = [x for x in v if truthy(q.call(a[0], [x, x.id]))] if isinstance(a[0], ClosureValue) else [want(x, THINGS, "a thing") for x in a]
     gone = List(x for x in hits if x in v)
     for x in gone:
-        v.items.pop(id(x))
+        v.items.pop(id(x), None)
+    if v.home:
+        q.types().changed(v, gone, [])
     return gone
 
 
@@ -557,7 +559,10 @@ def _(q, v, f, limit=None):
 
 @chain("clear", (list, TSet, Thing), 0, 0, 1)
 def _(q, v):
+    gone = list(v) if isinstance(v, TSet) and v.home else []
     (v.items if isinstance(v, TSet) else v.fields if isinstance(v, Thing) else mutable(v)).clear()
+    if gone:
+        q.types().changed(v, gone, [])
 
 
 @chain("join", LISTS, 0, 1)
@@ -582,9 +587,12 @@ def _(q, v, k, x):
 @chain("add", SETS, 1, None)
 def _(q, v, *things):
     before = len(v)
+    added = [t for t in things if t not in v]
     for t in things:
         q.restricted(v, want(t, THINGS, "a thing"))
         v.items[id(t)] = t
+    if v.home:
+        q.types().changed(v, [], added)
     return len(v) - before
 
 

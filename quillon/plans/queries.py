@@ -241,6 +241,9 @@ ENGINE_TEXT = {
     "op_engine_tasks": ("t = task(datetime().move('days', 5), |t, x| x, [4]); a = is_task(t); b = t.args().len(); t.set_args([5, 6]); c = t.args()[0]; d = tasks().len(); e = is_datetime(t.at()); t.cancel(); t.del(); f = tasks().len(); r = room(); g = is_room(r); nation.map(|n| {id: n.n_nationkey, a: a, b: b, d: d, e: e, f: f, g: g})", "SELECT n_nationkey::BIGINT AS id, true AS a, 1::BIGINT AS b, 1::BIGINT AS d, true AS e, 0::BIGINT AS f, true AS g FROM nation"),
     "op_engine_kinds": ("a = is_nil(nil); b = is_regex(/x/); c = is_tuple([[1]][0]); d = is_future(future(nil)); e = is_timeval(timeval()); f = is_time_zone('Europe/Amsterdam'); g = is_module(1); h = is_mpdata(1); i = type_assert(1, 'int'); j = deep(); k = is_err(zero_div_err()); nation.map(|n| {id: n.n_nationkey, a: a, b: b, c: c, e: e, f: f, g: g, h: h, k: k})", "SELECT n_nationkey::BIGINT AS id, true AS a, true AS b, true AS c, true AS e, true AS f, false AS g, false AS h, true AS k FROM nation"),
     "op_engine_error_codes": ("c64 = cancelled_err('x').code(); c63 = operation_err('x').code(); c62 = num_arguments_err('x').code(); c61 = type_err('x').code(); c60 = value_err('x').code(); c59 = overflow_err('x').code(); c58 = zero_div_err('x').code(); c57 = max_quota_err('x').code(); c56 = auth_err('x').code(); c55 = forbidden_err('x').code(); c54 = lookup_err('x').code(); c53 = bad_data_err('x').code(); c52 = syntax_err('x').code(); c51 = node_err('x').code(); c50 = assert_err('x').code(); nation.map(|n| {id: n.n_nationkey, c64: c64, c63: c63, c62: c62, c61: c61, c60: c60, c59: c59, c58: c58, c57: c57, c56: c56, c55: c55, c54: c54, c53: c53, c52: c52, c51: c51, c50: c50})", "SELECT n_nationkey::BIGINT AS id, (-64)::BIGINT AS c64, (-63)::BIGINT AS c63, (-62)::BIGINT AS c62, (-61)::BIGINT AS c61, (-60)::BIGINT AS c60, (-59)::BIGINT AS c59, (-58)::BIGINT AS c58, (-57)::BIGINT AS c57, (-56)::BIGINT AS c56, (-55)::BIGINT AS c55, (-54)::BIGINT AS c54, (-53)::BIGINT AS c53, (-52)::BIGINT AS c52, (-51)::BIGINT AS c51, (-50)::BIGINT AS c50 FROM nation"),
+    "op_engine_relations": ("new_type('A'); new_type('B'); set_type('A', {n: 'int', bs: '{B}'}); set_type('B', {n: 'int', a: 'A?'}); mod_type('B', 'rel', 'a', 'bs'); x = A{n: 1}; y = B{n: 2}; x.bs.add(y); a = y.a.n; z = A{n: 3}; z.bs.add(y); b = x.bs.len(); c = y.a.n; z.bs.remove(y); d = is_nil(y.a); y.a = x; e = x.bs.len(); x.bs.clear(); f = is_nil(y.a); nation.map(|n| {id: n.n_nationkey, a: a, b: b, c: c, d: d, e: e, f: f})", "SELECT n_nationkey::BIGINT AS id, 1::BIGINT AS a, 0::BIGINT AS b, 3::BIGINT AS c, true AS d, 1::BIGINT AS e, true AS f FROM nation"),
+    "op_engine_users": ("new_user('ann'); a = has_user('ann'); grant('@admin', 'ann', QUERY); b = user_info('ann').access.len(); rename_user('ann', 'bea'); c = has_user('ann'); d = users_info().len(); k = new_token('bea', nil, 'x'); e = user_info('bea').tokens.len(); revoke('@admin', 'bea', QUERY); del_token(k); f = user_info('bea').tokens.len(); set_password('bea', 'secret1'); del_user('bea'); g = has_user('bea'); nation.map(|n| {id: n.n_nationkey, a: a, b: b, c: c, d: d, e: e, f: f, g: g})", "SELECT n_nationkey::BIGINT AS id, true AS a, 1::BIGINT AS b, false AS c, 2::BIGINT AS d, 1::BIGINT AS e, 0::BIGINT AS f, false AS g FROM nation"),
+    "op_engine_collections": ("new_collection('box'); a = has_collection('box'); b = collections_info().len(); rename_collection('box', 'bin'); c = has_collection('bin'); d = collection_info('bin').name; del_collection('bin'); e = has_collection('bin'); f = nodes_info().len(); g = counters().len() > 0; h = has_backup(1); i = backups_info().len(); j = has_module('x'); k = modules_info().len(); nation.map(|n| {id: n.n_nationkey, a: a, b: b, c: c, d: d, e: e, f: f, g: g, h: h, i: i, j: j, k: k})", "SELECT n_nationkey::BIGINT AS id, true AS a, 2::BIGINT AS b, true AS c, 'bin' AS d, false AS e, 1::BIGINT AS f, true AS g, false AS h, 0::BIGINT AS i, false AS j, 0::BIGINT AS k FROM nation"),
     "op_engine_chain": ("orders.filter(|o| o.o_orderstatus == 'F' && o.customer.c_acctbal > least).map(|o| {id: o.o_orderkey, price: o.o_totalprice}).sort(|r| r.price, true)[:50]", "SELECT * FROM (SELECT o_orderkey AS id, o_totalprice AS price FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND c_acctbal > 500 ORDER BY o_totalprice DESC, o_orderkey LIMIT 50)"),
     "op_engine_procedure": ("new_procedure('rich', |cs, x| cs.filter(|c| c.c_acctbal > x)); run('rich', customer, least).map(|c| {id: c.c_custkey, n: c.nation.n_name})", "SELECT c_custkey AS id, n_name AS n FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 500"),
     "op_engine_sets": ("a = orders.filter(|o| o.o_totalprice > 200000); b = orders.filter(|o| o.o_orderstatus == 'O'); ((a | b) - (a & b)).map(|o| {id: o.o_orderkey})", "SELECT o_orderkey AS id FROM orders WHERE (o_totalprice > 200000) <> (o_orderstatus = 'O')"),

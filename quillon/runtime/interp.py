@@ -282,7 +282,10 @@ class Interp:
             v = v.thing
         if isinstance(v, Thing):
             if name in v.fields:
-                return v.fields[name]
+                found = v.fields[name]
+                if isinstance(found, TSet) and v.type is not None and name in v.type.relations:
+                    found.home = (v, name)
+                return found
             raise LookupError_(f"thing has no property `{name}`")
         raise LookupError_(f"type `{kind(v)}` has no property `{name}`")
 

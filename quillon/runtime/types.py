@@ -342,6 +342,12 @@ class Types:
                 if isinstance(back, Thing):
                     self._drop(back, prop, t)
 
+    def changed(self, v: TSet, gone: list[Thing], added: list[Thing]) -> None:
+        """Keeps the other side after a set of a relation has lost and got things."""
+        thing, prop = v.home or (None, None)
+        if thing is not None and thing.fields.get(prop) is v and prop in thing.type.relations:
+            self.link(thing, prop, TSet(gone), TSet(added))
+
     def _things(self, v: Any) -> list[Thing]:
         return [v] if isinstance(v, Thing) else list(v) if isinstance(v, TSet) else []
 

@@ -22,13 +22,14 @@ class Thing:
 
 
 class TSet:
-    """Things by identity."""
+    """Things by identity. `home` is the thing and property of a relation that hold the set, once read from there."""
 
-    __slots__ = ("items", "restriction")
+    __slots__ = ("home", "items", "restriction")
 
     def __init__(self, things=(), restriction: str | None = None):
         self.items = {id(t): t for t in things}
         self.restriction = restriction
+        self.home = None
 
     def __iter__(self):
         return iter(list(self.items.values()))

@@ -202,6 +202,14 @@ def test_relations(engine):
     assert q(".a.bs.len()") == 1
     q(".b.a = nil")
     assert q(".a.bs.len()") == 0
+    q(".c = A{}; .a.bs.add(.b)")
+    assert q(".b.a == .a")
+    q(".c.bs.add(.b)")
+    assert q("[.a.bs.len(), .c.bs.len(), .b.a == .c]") == [0, 1, True]
+    q(".c.bs.remove(|b| true)")
+    assert q("is_nil(.b.a)")
+    q(".a.bs.add(.b); .a.bs.clear()")
+    assert q("is_nil(.b.a)")
 
 
 def test_procedures_rooms_tasks():
