@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Bytes of an Arrow batch while a table is written: a task holds a few batches in the JVM and in its worker.
-BATCH_BYTES = 1 << 23
+BATCH_BYTES = 1 << 21
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

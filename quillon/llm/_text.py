@@ -10,6 +10,7 @@ stands for a word where a chance collision only costs time; what has to be exact
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -22,6 +23,14 @@ _ODD = 0x9E3779B97F4A7C15
 _ALL = (1 << 64) - 1
 
 
+def give_back() -> None:
+    """Returns freed memory to the system. Workers are used again by later stages, where what one batch needed would stay beside theirs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit multiplicative hash; bijective."""
     x = x ^ (x >> np.uint64(33))

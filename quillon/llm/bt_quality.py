@@ -109,8 +109,13 @@ def fit(x: np.ndarray, good: np.ndarray, ridge: float = 1.0, rounds: int = 40) -
 
 def train(labelled: DataFrame) -> Model:
     """labelled (id, text, label): fits on a bounded sample; only feature vectors reach the driver."""
-    vec = F.arrow_udf(lambda t: pa.array(list(features(T.texts_of(t)).astype(np.float32)), pa.list_(pa.float32())), "array<float>")
-    got = labelled.select("label", vec("text").alias("x")).toArrow()
+
+    def vec(t: pa.Array) -> pa.Array:
+        out = pa.array(list(features(T.texts_of(t)).astype(np.float32)), pa.list_(pa.float32()))
+        T.give_back()
+        return out
+
+    got = labelled.select("label", F.arrow_udf(vec, "array<float>")("text").alias("x")).toArrow()
     x = got.column("x").combine_chunks()
     x = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x).flatten().to_numpy().astype(np.float64).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, got.column("label").to_numpy()))  # the same whatever order rows arrive in
@@ -161,6 +166,7 @@ def bt_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, id
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for t in batches:
             yield pa.array(model.raw(T.texts_of(t)), pa.float64())
+            T.give_back()
 
     # The line: only texts that may be labelled are scored for it. One function does both, so that a task has one worker.
     sieve = Sieve(labels.select(F.xxhash64("id").alias("k")), "k")
@@ -168,6 +174,7 @@ def bt_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, id
     def bits(k: pa.Array, t: pa.Array) -> pa.Array:
         at = pa.array(np.flatnonzero(sieve.mask(k.to_numpy(zero_copy_only=False))))
         found = ordered_bits(model.raw(T.texts_of(t.take(at))))
+        T.give_back()
         return pa.array(found).take(pc.index_in(pa.array(np.arange(len(t))), at))
 
     score.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

@@ -134,6 +134,7 @@ def _frequency(docs: DataFrame, text_col: str, block) -> dict[int, np.ndarray]:
                     ok = (slot < len(v)) & (v[np.minimum(slot, len(v) - 1)] == s[at])
                     pair = np.unique(text[at[ok]] * np.int64(len(v)) + slot[ok])
                     total[k] += np.bincount(pair % len(v), minlength=len(v))
+            T.give_back()
         for k, c in total.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(c[at])], ["k", "s", "c"])
@@ -200,6 +201,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, shi
                             at += n
                     rows.append({"n_words": z - a, "n_hit": int(total[z] - total[a]), "items": ids, "spans": spans})
             yield pa.array(rows, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))]))
+            T.give_back()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     res = fresh(keep, "_found")

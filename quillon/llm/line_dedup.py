@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm import _text as T
 from quillon.llm._sieve import perhaps
 from quillon.llm._tables import fresh, quoted, release, save
 
@@ -27,7 +28,10 @@ def _without(text: F.Column, drop: F.Column) -> F.Column:
         for x, gone in zip(t, d, strict=True):
             x, gone = x.as_py(), set(gone.as_py())
             out.append("\n".join(y for i, y in enumerate(x.split("\n")) if i not in gone) if gone else x)
-        return pa.array(out, pa.string())
+        made = pa.array(out, pa.string())
+        del out
+        T.give_back()
+        return made
 
     return F.arrow_udf(run, "string")(text, drop)
 

@@ -146,6 +146,7 @@ def sketch(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 figures = [pa.array(np.array(x, dtype=np.int64)) for x in (n, fp, fp2)]
                 ids = [batch.column(i).slice(lo, hi - lo) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([*ids, *figures, _list_array(keys), _list_array(sk)], ["rk", "rk2", "id", "n", "fp", "fp2", "keys", "sk"])
+            T.give_back()
 
     return rows.select("rk", "rk2", "id", "text").mapInArrow(run, f"rk long, rk2 long, id {rows.schema['id'].dataType.simpleString()}, n long, fp long, fp2 long, keys array<long>, sk array<long>")
 
@@ -300,6 +301,7 @@ def _cell_pairs(members: DataFrame, num: int, den: int, forest: bool) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(batches, ["key", "i", "j"]):
             yield from cells(t)
+            T.give_back()
 
     def cells(t: pa.Table) -> Iterator[pa.RecordBatch]:
         key, ci, cj, side, fp, n = (t.column(c).to_numpy() for c in ("key", "i", "j", "side", "a", "n"))
@@ -415,6 +417,7 @@ def _verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, num:
             for lo, hi in T.chunks(a, PIECE):
                 ok = np.flatnonzero(_linked(a[lo:hi], b[lo:hi], prints[lo:hi], k, num, den)) + lo
                 yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(ok)) for i in range(4)], ["fp_a", "fp2_a", "fp_b", "fp2_b"])
+            T.give_back()
 
     met = both.select("fp_a", "fp2_a", "fp_b", "fp2_b", "text_a", "text_b").mapInArrow(run, "fp_a long, fp2_a long, fp_b long, fp2_b long")
     links = save(met.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"), _vertex("fp_a", "fp2_a").alias("u"), _vertex("fp_b", "fp2_b").alias("v")), "links")
